@@ -38,6 +38,10 @@ def one_hot(df: DataFrame, col: str, prefix: str, categories: Sequence[str]) ->
     )
 
 
+def _prefixed(values: str, prefix: str) -> Column:
+    return F.transform(values, lambda v: F.concat(F.lit(f"{prefix}_"), v))
+
+
 def feature_lists(
     df: DataFrame,
     group: Sequence[str],
@@ -54,7 +58,7 @@ def feature_lists(
     )
     names = [F.array(*[F.lit(b) for b in base])]
     for c, prefix in categories.items():
-        names.append(F.transform(f"_set_{c}", lambda v, p=prefix: F.concat(F.lit(f"{p}_"), v)))
+        names.append(_prefixed(f"_set_{c}", prefix))
     return sets.select(*group, F.concat(*names).alias(alias))
 
 

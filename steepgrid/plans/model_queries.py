@@ -236,14 +236,15 @@ def _predicted(spark, sf) -> DataFrame:
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+    # Adding zero turns a rounded -0.0 into 0.0.
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
 @query(
     f"""
     WITH {FOLDED_SQL}
-    SELECT bean_name, CAST(fold AS INTEGER) AS fold, n, ROUND(r2_mesh, 6) AS r2_mesh, ROUND(r2_gram, 6) AS r2_gram,
-           ROUND(r2_extraction_time, 6) AS r2_extraction_time, ROUND(r2, 6) AS r2 FROM scored
+    SELECT bean_name, CAST(fold AS INTEGER) AS fold, n, ROUND(r2_mesh, 6) + 0.0 AS r2_mesh, ROUND(r2_gram, 6) + 0.0 AS r2_gram,
+           ROUND(r2_extraction_time, 6) + 0.0 AS r2_extraction_time, ROUND(r2, 6) + 0.0 AS r2 FROM scored
     """
 )
 def kfold_r2(spark, sf):
@@ -253,7 +254,7 @@ def kfold_r2(spark, sf):
 @query(
     f"""
     WITH {FOLDED_SQL}
-    SELECT bean_name, ROUND(AVG(r2), 6) AS fold_mean, ROUND(stddev_pop(r2), 6) AS fold_std, COUNT(*) AS folds
+    SELECT bean_name, ROUND(AVG(r2), 6) + 0.0 AS fold_mean, ROUND(stddev_pop(r2), 6) AS fold_std, COUNT(*) AS folds
     FROM scored GROUP BY bean_name
     """
 )

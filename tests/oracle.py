@@ -52,8 +52,9 @@ def compare(spark, con, name, fn, sql, sf_dir):
     alias = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE"}
     odd = {c: (kinds[c], duck[c]) for c in left_cols if c in duck and alias.get(kinds[c]) and alias[kinds[c]] != duck[c]}
     if left != right:
-        extra = [r for r in left if r not in set(right)][:2]
-        missing = [r for r in right if r not in set(left)][:2]
+        left_set, right_set = set(left), set(right)
+        extra = [r for r in left if r not in right_set][:2]
+        missing = [r for r in right if r not in left_set][:2]
         return f"rows {len(left)} vs {len(right)}; spark only {extra}; sql only {missing}", seconds, len(got)
     if odd:
         return f"types {odd}", seconds, len(got)
