@@ -130,7 +130,7 @@ def safe_key(c: Column | str) -> Column:
 
 
 def clamp(c: Column | str, low: float, high: float) -> Column:
-    """Limit to [low, high]; NaN becomes ``high`` because NaN is the largest double."""
+    """Limit to [low, high]; NaN, the largest double, becomes ``high``, and so does NULL."""
     return F.greatest(F.lit(low), F.least(F.lit(high), _col(c)))
 
 

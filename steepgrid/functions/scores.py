@@ -54,7 +54,5 @@ def fallback_confidence(n: Column) -> Column:
 
 def saved_confidence(n: Column) -> Column:
     """Confidence of a stored model from its sample count; constant when the count is unknown."""
-    return F.coalesce(
-        F.least(F.lit(HIGHEST), F.lit(0.7) + n / F.lit(100.0) * F.lit(0.2)),
-        F.lit(LOADED_MODEL_CONFIDENCE),
-    )
+    known = F.least(F.lit(HIGHEST), F.lit(0.7) + n / F.lit(100.0) * F.lit(0.2))
+    return F.when(n.isNull(), F.lit(LOADED_MODEL_CONFIDENCE)).otherwise(known)

@@ -62,16 +62,6 @@ def feature_lists(
     return sets.select(*group, F.concat(*names).alias(alias))
 
 
-def feature_values(categories: Mapping[str, str], base: Sequence[str] = BASE_FEATURES) -> Column:
-    """Map of feature name to value for one row."""
-    entries = []
-    for b in base:
-        entries += [F.lit(b), F.col(b).cast("double")]
-    for c, prefix in categories.items():
-        entries += [F.concat(F.lit(f"{prefix}_"), F.coalesce(F.col(c), F.lit(""))), F.lit(1.0)]
-    return F.create_map(*entries)
-
-
 def align(
     df: DataFrame,
     lists: DataFrame,
@@ -82,12 +72,16 @@ def align(
     alias: str = "features",
     how: str = "inner",
 ) -> DataFrame:
-    """Add the row's values in the order of its group's stored list: absent names 0, unknown values dropped."""
+    """Add the row's values in the order of its group's stored list: absent names 0, unknown values dropped.
+
+    A stored list holds the numeric names first, then the category names it was trained with.
+    """
     joined = df.join(lists.select(*group, names), list(group), how)
-    values = joined.withColumn("_values", feature_values(categories, base))
-    return values.withColumn(
-        alias, F.transform(names, lambda n: F.coalesce(F.try_element_at(F.col("_values"), n), F.lit(0.0)))
-    ).drop("_values", names)
+    seen = [F.coalesce(F.concat(F.lit(f"{prefix}_"), c), F.lit("")) for c, prefix in categories.items()]
+    trained = F.slice(names, len(base) + 1, F.greatest(F.size(names) - len(base), F.lit(0)))
+    dummies = F.transform(trained, lambda n: F.when(n.isin(*seen), 1.0).otherwise(0.0))
+    numbers = F.array(*[F.col(b).cast("double") for b in base])
+    return joined.withColumn(alias, F.concat(numbers, dummies)).drop(names)
 
 
 def training_gate(

@@ -35,8 +35,8 @@ def train(
     rows = base_features(trainable(brews, [group]))
     lists = materialise(feature_lists(rows, [group], categories), "lists")
     counts = materialise(rows.groupBy(group).agg(F.count("*").alias("sample_count")), "counts")
-    aligned = align(rows, lists, [group], categories)
-    return fit_forest(aligned, [group], targets, key, spec), lists, counts
+    aligned = align(rows, lists, [group], categories).select(group, *key, *targets, "features")
+    return fit_forest(materialise(aligned, "aligned"), [group], targets, key, spec), lists, counts
 
 
 def _variants(folds: int) -> Column:
@@ -83,7 +83,9 @@ def confidence_parts(
     )
     agreement = scored.where("role = 'train'").groupBy(group).agg(F.avg(spread).alias("mean_std"))
     accuracy = tolerance_accuracy(scored.where("role = 'test'"), [group], pairs, tolerances)
-    sizes = rows.groupBy(group).agg(F.count("*").alias("sample_count"))
+    sizes = rows.groupBy(group).agg(
+        F.count("*").alias("sample_count"), F.count(F.when(F.col("fold").isNull(), 1)).alias("test_count")
+    )
     joined = (
         sizes.join(on_train, group, "left")
         .join(agreement, group, "left")
@@ -126,7 +128,7 @@ def evaluate(
     return parts.join(counted, group).select(
         group,
         "sample_count",
-        F.coalesce("n_eval", F.lit(0)).cast("bigint").alias("eval_sample_count"),
+        F.col("test_count").alias("eval_sample_count"),
         "confidence",
         "feature_count",
         F.struct(

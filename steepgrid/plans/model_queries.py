@@ -349,8 +349,8 @@ def confidence_by_count(spark, sf):
 
 # Small enough that SQL can grow the same trees; equal-width bins, as quantile sketches differ between engines.
 SMALL = forest.ForestSpec(trees=3, max_depth=2, bins=8, binning="width")
-FULL = forest.ForestSpec(trees=100, max_depth=4, bins=32)
-EVALUATION = forest.ForestSpec(trees=20, max_depth=4, bins=32)
+FULL = forest.ForestSpec(trees=100, max_depth=3, bins=32)
+EVALUATION = forest.ForestSpec(trees=20, max_depth=3, bins=32)
 
 
 def _forest_sql(spec: forest.ForestSpec) -> str:
@@ -508,7 +508,7 @@ def _stamp() -> str:
 
 @query()
 def forest_train_score(spark, sf):
-    """A hundred trees per bean on all rows, then every order's request scored by the fresh models."""
+    """A hundred shallow trees per bean on all rows, then every order's request scored by the fresh models."""
     fitted, lists, _ = evaluation.train(brews(spark, sf), KEY, spec=FULL)
     asked = features.align(
         registry.request_features(_requests(spark, sf)), lists, ["bean_name"], evaluation.WEATHER_ONLY

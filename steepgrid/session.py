@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 SCRATCH_KEY = "spark.checkpoint.dir"
 
+_local_scratch: dict[str, str] = {}
+
 
 def get_spark(app: str = "steepgrid", master: str | None = None, **conf: str) -> SparkSession:
     """Session with adaptive execution on. Cluster settings given at submit time win."""
@@ -28,13 +30,15 @@ def get_spark(app: str = "steepgrid", master: str | None = None, **conf: str) ->
 
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: what the cluster names, a temp folder only in local mode."""
-    configured = spark.conf.get(SCRATCH_KEY, None) or spark.sparkContext.getConf().get(SCRATCH_KEY)
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {SCRATCH_KEY} to a folder every executor can reach")
-        configured = tempfile.mkdtemp(prefix="steepgrid-")
-        spark.conf.set(SCRATCH_KEY, configured)
-    return f"{configured.rstrip('/')}/steepgrid-{spark.sparkContext.applicationId}"
+    application = spark.sparkContext.applicationId
+    configured = spark.conf.get(SCRATCH_KEY, None)
+    if configured:
+        return f"{configured.rstrip('/')}/steepgrid-{application}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {SCRATCH_KEY} to a folder every executor can reach")
+    if application not in _local_scratch:
+        _local_scratch[application] = tempfile.mkdtemp(prefix="steepgrid-")
+    return _local_scratch[application]
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
