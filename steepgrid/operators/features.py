@@ -74,14 +74,30 @@ def align(
 ) -> DataFrame:
     """Add the row's values in the order of its group's stored list: absent names 0, unknown values dropped.
 
-    A stored list holds the numeric names first, then the category names it was trained with.
+    A stored list holds the numeric names first, then the trained names of each category in turn.
     """
-    joined = df.join(lists.select(*group, names), list(group), how)
-    seen = [F.coalesce(F.concat(F.lit(f"{prefix}_"), c), F.lit("")) for c, prefix in categories.items()]
-    trained = F.slice(names, len(base) + 1, F.greatest(F.size(names) - len(base), F.lit(0)))
-    dummies = F.transform(trained, lambda n: F.when(n.isin(*seen), 1.0).otherwise(0.0))
+    parts = {
+        f"_names_{c}": F.filter(names, _starts_with(f"{prefix}_")) for c, prefix in categories.items()
+    }
+    split = lists.select(*group, *[part.alias(p) for p, part in parts.items()])
+    joined = df.join(split, list(group), how)
     numbers = F.array(*[F.col(b).cast("double") for b in base])
-    return joined.withColumn(alias, F.concat(numbers, dummies)).drop(names)
+    dummies = [_indicator(f"_names_{c}", F.concat(F.lit(f"{prefix}_"), c)) for c, prefix in categories.items()]
+    return joined.withColumn(alias, F.concat(numbers, *dummies)).drop(*parts)
+
+
+def _starts_with(prefix: str):
+    return lambda name: name.startswith(prefix)
+
+
+def _indicator(names: str, name: Column) -> Column:
+    """Zeros as long as ``names`` with a one where ``name`` stands; built-in array functions keep it compiled."""
+    size = F.size(names)
+    place = F.coalesce(F.array_position(names, name), F.lit(0)).cast("int")
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    return F.when(place == 0, zeros(size)).otherwise(
+        F.concat(zeros(place - 1), F.array(F.lit(1.0)), zeros(size - place))
+    )
 
 
 def training_gate(
