@@ -48,18 +48,20 @@ def feature_lists(
     categories: Mapping[str, str],
     base: Sequence[str] = BASE_FEATURES,
     alias: str = "feature_names",
+    count_alias: str = "sample_count",
 ) -> DataFrame:
-    """Feature names of every group: the numeric ones, then prefix_value for each category it has seen.
+    """Row count and feature names of every group: the numeric ones, then prefix_value for each category it has seen.
 
     Only distinct (group, value) pairs are gathered, so the size of a group does not matter.
     """
     sets = df.groupBy(*group).agg(
+        F.count("*").alias(count_alias),
         *[F.sort_array(F.collect_set(c)).alias(f"_set_{c}") for c in categories]
     )
     names = [F.array(*[F.lit(b) for b in base])]
     for c, prefix in categories.items():
         names.append(_prefixed(f"_set_{c}", prefix))
-    return sets.select(*group, F.concat(*names).alias(alias))
+    return sets.select(*group, count_alias, F.concat(*names).alias(alias))
 
 
 def align(

@@ -20,7 +20,6 @@ REGISTRY, ROOTS, SPLITS = "registry", "roots", "splits"
 
 def registry_rows(
     lists: DataFrame,
-    counts: DataFrame,
     bean: str,
     as_of: str,
     targets: Sequence[str] = TARGETS,
@@ -28,8 +27,8 @@ def registry_rows(
     numerical: Sequence[str] = BASE_FEATURES,
     data_source: str = "recipe",
 ) -> DataFrame:
-    """One registry row per bean from its feature list and its sample count."""
-    return lists.join(counts, bean).select(
+    """One registry row per bean from its feature list and sample count."""
+    return lists.select(
         F.col(bean).alias("bean_name"),
         safe_key(bean).alias("model_key"),
         "feature_names",

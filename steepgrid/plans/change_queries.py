@@ -339,12 +339,12 @@ def delete_rows(spark, sf):
     """
     SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN
       (SELECT o_orderkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey
-       JOIN customer ON c_custkey = o_custkey WHERE l_suppkey % 25 = c_nationkey)
+       JOIN customer ON c_custkey = o_custkey WHERE l_linenumber = c_nationkey)
     """
 )
 def delete_owned(spark, sf):
     requests = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("o_orderkey"), (F.col("l_suppkey") % 25).alias("actor")
+        F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("actor")
     )
     stored = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     return changes.delete_owned(

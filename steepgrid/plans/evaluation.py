@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from steepgrid.functions.scores import confidence, fallback_confidence
-from steepgrid.operators.features import align, base_features, feature_lists, trainable
+from steepgrid.operators.features import MIN_TRAINING_ROWS, align, base_features, feature_lists
 from steepgrid.operators.forest import Forest, ForestSpec, fit_forest, predict
 from steepgrid.operators.metrics import fold_stats, r2, tolerance_accuracy
 from steepgrid.operators.ranks import number_rows
@@ -30,13 +30,21 @@ def train(
     categories: Mapping[str, str] = WEATHER_ONLY,
     targets: Sequence[str] = TARGETS,
     spec: ForestSpec = ForestSpec(),
-) -> tuple[Forest, DataFrame, DataFrame]:
-    """(forests of all beans that pass the gate, their feature lists, their sample counts)."""
-    rows = base_features(trainable(brews, [group]))
-    lists = materialise(feature_lists(rows, [group], categories), "lists")
-    counts = materialise(rows.groupBy(group).agg(F.count("*").alias("sample_count")), "counts")
+) -> tuple[Forest, DataFrame]:
+    """(forests of all beans that pass the gate, their feature lists with sample counts).
+
+    One pass finds the counts and lists of all beans; beans below the gate drop out of the list and
+    with it out of the join that aligns the rows.
+    """
+    rows = base_features(brews)
+    lists = materialise(gated_lists(rows, group, categories), "lists")
     aligned = align(rows, lists, [group], categories).select(group, *key, *targets, "features")
-    return fit_forest(materialise(aligned, "aligned"), [group], targets, key, spec), lists, counts
+    return fit_forest(materialise(aligned, "aligned"), [group], targets, key, spec), lists
+
+
+def gated_lists(rows: DataFrame, group: str, categories: Mapping[str, str]) -> DataFrame:
+    """Feature lists of the beans with enough rows to train on."""
+    return feature_lists(rows, [group], categories).where(F.col("sample_count") >= MIN_TRAINING_ROWS)
 
 
 def _variants(folds: int) -> Column:
@@ -157,8 +165,8 @@ def trained_confidence(
     folds: int = 3,
 ) -> DataFrame:
     """Confidence of freshly trained models: all rows train, folds follow the stored order."""
-    based = base_features(trainable(brews, [group]))
-    lists = materialise(feature_lists(based, [group], categories), "lists")
+    based = base_features(brews)
+    lists = materialise(gated_lists(based, group, categories), "lists")
     aligned = align(based, lists, [group], categories).select(
         group, *dict.fromkeys([*key, *order, *targets]), "features"
     )

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from steepgrid.functions import scores
-from steepgrid.operators import features, forest, metrics, registry, splits
+from steepgrid.operators import counts, features, forest, metrics, ranks, registry, splits
 from steepgrid.plans import evaluation
 from steepgrid.plans.catalog import query, table
 from steepgrid.schemas import BASE_FEATURES, TARGETS
@@ -190,9 +192,7 @@ def kfold_assign(spark, sf):
     """
 )
 def whole_table_numbering(spark, sf):
-    from steepgrid.operators.ranks import number_rows
-
-    return number_rows(brews(spark, sf).select(*KEY), [], KEY, "place", "total")
+    return ranks.number_rows(brews(spark, sf).select(*KEY), [], KEY, "place", "total")
 
 
 # The predictor of these metric queries: the group's mean over the rows outside the fold.
@@ -333,9 +333,7 @@ def confidence(spark, sf):
     """
 )
 def confidence_by_count(spark, sf):
-    from steepgrid.operators.counts import fact_counts
-
-    counted = fact_counts(
+    counted = counts.fact_counts(
         table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders"), "c_custkey", "o_custkey", "n"
     )
     return counted.select(
@@ -481,7 +479,7 @@ def _requests(spark, sf) -> DataFrame:
     """Every order asks for one prediction; some name beans without a model or leave measurements out."""
     return table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("request_id"),
-        F.concat(F.lit("Brand#"), (F.col("o_custkey") % 30).cast("string")).alias("bean_name"),
+        F.concat(F.lit("Brand#"), F.dayofmonth("o_orderdate").cast("string")).alias("bean_name"),
         F.when(F.col("o_orderpriority") == "1-URGENT", "ECONOMY").otherwise("UNKNOWN").alias("bean_origin"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
         F.col("o_orderstatus").alias("weather"),
@@ -493,23 +491,17 @@ def _requests(spark, sf) -> DataFrame:
 
 def _stored(spark, sf, categories, spec=EVALUATION):
     """Train every bean, store and register the models, and load them again."""
-    base = f"{scratch_dir(spark)}/models-{'-'.join(categories)}-{_stamp()}"
-    fitted, lists, counts = evaluation.train(brews(spark, sf), KEY, categories=categories, spec=spec)
-    rows = registry.registry_rows(lists, counts, "bean_name", AS_OF, categories=list(categories))
+    base = f"{scratch_dir(spark)}/models-{'-'.join(categories)}-{uuid.uuid4().hex}"
+    fitted, lists = evaluation.train(brews(spark, sf), KEY, categories=categories, spec=spec)
+    rows = registry.registry_rows(lists, "bean_name", AS_OF, categories=list(categories))
     registry.save_model(spark, base, fitted, rows)
     return registry.load_model(spark, base), registry.load_registry(spark, base)
 
 
-def _stamp() -> str:
-    import uuid
-
-    return uuid.uuid4().hex
-
-
 @query()
 def forest_train_score(spark, sf):
     """A hundred shallow trees per bean on all rows, then every order's request scored by the fresh models."""
-    fitted, lists, _ = evaluation.train(brews(spark, sf), KEY, spec=FULL)
+    fitted, lists = evaluation.train(brews(spark, sf), KEY, spec=FULL)
     asked = features.align(
         registry.request_features(_requests(spark, sf)), lists, ["bean_name"], evaluation.WEATHER_ONLY
     )
@@ -538,20 +530,18 @@ REGISTRY_SQL = f"""
     {NAMES_SQL},
     listed AS (SELECT bean_name, string_agg(name, ',' ORDER BY feature) AS feature_names, COUNT(*) AS feature_count
                FROM names GROUP BY bean_name),
-    counted AS (SELECT bean_name, COUNT(*) AS sample_count FROM brews GROUP BY bean_name)
+    counted AS (SELECT bean_name, COUNT(*) AS sample_count FROM brews GROUP BY bean_name HAVING COUNT(*) >= 10)
 """
 
 
 def _registry(spark, sf) -> DataFrame:
     """Registry of all beans, written twice: the second write replaces every row."""
-    rows = features.trainable(brews(spark, sf), ["bean_name"])
-    lists = features.feature_lists(rows, ["bean_name"], evaluation.WITH_ORIGIN)
-    counts = rows.groupBy("bean_name").agg(F.count("*").alias("sample_count"))
-    base = f"{scratch_dir(spark)}/registry-{_stamp()}"
+    lists = materialise(evaluation.gated_lists(brews(spark, sf), "bean_name", evaluation.WITH_ORIGIN), "lists")
+    base = f"{scratch_dir(spark)}/registry-{uuid.uuid4().hex}"
     for when in ("2001-01-01T00:00:00", AS_OF):
         registry.register_model(
             spark, base,
-            registry.registry_rows(lists, counts, "bean_name", when, categories=list(evaluation.WITH_ORIGIN)),
+            registry.registry_rows(lists, "bean_name", when, categories=list(evaluation.WITH_ORIGIN)),
         )
     return registry.load_registry(spark, base)
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from steepgrid.functions.columns import date_parts, normalise_weather, parse_day
+from steepgrid.functions.columns import date_parts, lookup_or, normalise_weather, parse_day
 from steepgrid.schemas import CANONICAL, DAILY_WEATHER, MONTHLY_LOG
 
 MISSING_PATH = {"PATH_NOT_FOUND"}
@@ -63,21 +63,18 @@ def with_file_tags(
     tags: Mapping[str, tuple[str, str]],
     default: tuple[str, str],
 ) -> DataFrame:
-    """Add year_month from the file name, and the bean and user that month is booked on."""
-    spark = logs.sparkSession
-    mapping = spark.createDataFrame(
-        [(month, bean, user) for month, (bean, user) in tags.items()],
-        "year_month string, bean_name string, user_name string",
-    )
-    return (
-        logs.withColumn("year_month", F.regexp_extract("file_name", r"(\d{4}_\d{2})", 1))
-        .join(mapping, "year_month", "left")
-        .withColumns(
-            {
-                "bean_name": F.coalesce("bean_name", F.lit(default[0])),
-                "user_name": F.coalesce("user_name", F.lit(default[1])),
-            }
-        )
+    """Add year_month from the file name, and the bean and user that month is booked on.
+
+    The mapping is a handful of literals, so it becomes a lookup expression and no join.
+    """
+    month = F.regexp_extract("file_name", r"(\d{4}_\d{2})", 1)
+    beans = {key: bean for key, (bean, _) in tags.items()}
+    users = {key: user for key, (_, user) in tags.items()}
+    return logs.withColumn("year_month", month).withColumns(
+        {
+            "bean_name": lookup_or("year_month", beans, default[0]),
+            "user_name": lookup_or("year_month", users, default[1]),
+        }
     )
 
 

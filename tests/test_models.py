@@ -233,8 +233,8 @@ def test_models_are_stored_and_replaced(spark, tmp_path):
         [(1, "old", None, "2024-05-05", "雨", 12.0, None, None), (2, "gone", None, "2024-05-05", "雨", 12.0, 50.0, 3.0),
          (3, "new/bean", None, "2024-05-05", "霧", None, None, None)], REQUEST)
     for as_of, sizes in (("t1", {"old": 30}), ("t2", {"new/bean": 40}), ("t3", {"old": 50})):
-        fitted, lists, counts = evaluation.train(brews(spark, sizes), ["id"], spec=SPEC)
-        registry.save_model(spark, base, fitted, registry.registry_rows(lists, counts, "bean_name", as_of))
+        fitted, lists = evaluation.train(brews(spark, sizes), ["id"], spec=SPEC)
+        registry.save_model(spark, base, fitted, registry.registry_rows(lists, "bean_name", as_of))
     rows = registry.load_registry(spark, base)
     assert {(r.bean_name, r.model_key, r.last_updated, r.sample_count) for r in rows.collect()} == {
         ("old", "old", "t3", 50), ("new/bean", "new_bean", "t2", 40)}
