@@ -406,18 +406,21 @@ def _small_forest(spark, sf) -> tuple[forest.Forest, DataFrame]:
     WITH {_forest_sql(SMALL)}
     {" UNION ALL ".join(
         f"SELECT bean_name, CAST(tree AS INTEGER) AS tree, {d} AS level, node, CAST(feature AS INTEGER) AS feature, "
-        f"CAST(bin AS INTEGER) AS bin, CAST(n AS BIGINT) AS n, ROUND(ls0 / ln, 6) AS left_mesh, "
-        f"ROUND((s0 - ls0) / (n - ln), 6) AS right_mesh, ROUND((s2 - ls2) / (n - ln), 4) AS right_time FROM splits{d}"
+        f"CAST(bin AS INTEGER) AS bin, CAST(n AS BIGINT) AS n, CAST(ln AS BIGINT) AS left_n, "
+        f"CAST(ROUND(ls0) AS BIGINT) AS left_mesh, CAST(ROUND(s0 - ls0) AS BIGINT) AS right_mesh, "
+        f"CAST(ROUND((s2 - ls2) * 100) AS BIGINT) AS right_cents FROM splits{d}"
         for d in range(SMALL.max_depth))}
     """
 )
 def forest_splits(spark, sf):
+    """Whole sums of quantities and cents, which no order of summation can round differently."""
     fitted, _ = _small_forest(spark, sf)
+    right = F.col("n") - F.col("left_n")
     return fitted.splits().select(
-        "bean_name", "tree", "level", "node", "feature", "bin", "n",
-        F.round("left0", 6).alias("left_mesh"),
-        F.round("right0", 6).alias("right_mesh"),
-        F.round("right2", 4).alias("right_time"),
+        "bean_name", "tree", "level", "node", "feature", "bin", "n", "left_n",
+        F.round(F.col("left0") * F.col("left_n")).cast("bigint").alias("left_mesh"),
+        F.round(F.col("right0") * right).cast("bigint").alias("right_mesh"),
+        F.round(F.col("right2") * right * 100).cast("bigint").alias("right_cents"),
     )
 
 

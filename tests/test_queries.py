@@ -45,11 +45,12 @@ def test_no_cross_joins(spark, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-def test_filters_and_columns_reach_the_scan(spark):
-    text = plan(QUERIES["facts_by_owner_range"](spark, SF))
-    scan = next(line for line in text.splitlines() if "FileScan" in line and "l_shipdate" in line)
-    assert "GreaterThanOrEqual(l_shipdate" in scan and "LessThanOrEqual(l_shipdate" in scan
-    assert "l_tax" not in scan and "l_discount" not in scan
+def test_filters_and_columns_reach_the_scan(spark, capsys):
+    QUERIES["facts_by_owner_range"](spark, SF).explain("formatted")
+    lines = capsys.readouterr().out.splitlines()
+    scan = next(i for i, line in enumerate(lines) if line.startswith("PushedFilters") and "l_shipdate" in line)
+    assert "GreaterThanOrEqual(l_shipdate" in lines[scan] and "LessThanOrEqual(l_shipdate" in lines[scan]
+    assert "l_quantity" in lines[scan + 1] and "l_tax" not in lines[scan + 1] and "l_discount" not in lines[scan + 1]
 
 
 def test_top_k_does_not_sort_everything(spark):
