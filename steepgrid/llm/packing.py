@@ -23,6 +23,8 @@ WINDOW = 4096
 SHARD_TOKENS = 2_000_000
 QUERY_TERMS = 48
 K1, B = 1.2, 0.75
+JOINED = 500  # words encoded in one call
+MARKS = (".", ",")
 
 _TOKEN_ROWS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("sketch", pa.int64())])
 _PIECES = pa.schema(
@@ -31,11 +33,20 @@ _PIECES = pa.schema(
 )
 
 
+_caches: dict[str, "ChunkIds"] = {}  # one per tokenizer and worker; workers live on between tasks
+
+
+def chunk_ids(path: str) -> "ChunkIds":
+    if path not in _caches:
+        _caches[path] = ChunkIds(path)
+    return _caches[path]
+
+
 class ChunkIds(dict):
     """Ids of a chunk without blanks. The vocabulary drops white space, so chunks are independent."""
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__({"": b""})
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
@@ -43,14 +54,39 @@ class ChunkIds(dict):
     def learn(self, texts: list[list[str]]) -> None:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        new = list(set(chain.from_iterable(texts)).difference(self))
-        for chunk, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self[chunk] = np.array(got.ids, self.kind).tobytes()
+            self[""] = b""
+        new = set(chain.from_iterable(texts)).difference(self)
+        parts = [(chunk, *_core(chunk)) for chunk in new]
+        needed = {x for _, core, mark in parts for x in (core, mark)}
+        self._encode_words(list(needed.difference(self)))
+        for chunk, core, mark in parts:
+            self[chunk] = self[core] + self[mark]
+
+    def _encode_words(self, words: list[str]) -> None:
+        """Encode many words in one call, apart by a blank, and part the ids by their places."""
+        for at in range(0, len(words), JOINED):
+            some = words[at : at + JOINED]
+            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(got.ids, self.kind)
+            places = np.fromiter((start for start, _ in got.offsets), np.int64, len(ids))
+            ends = np.cumsum([len(word) + 1 for word in some])
+            bounds = [0, *np.searchsorted(places, ends).tolist()]
+            for word, a, b in zip(some, bounds, bounds[1:]):
+                self[word] = ids[a:b].tobytes()
 
     def encode(self, chunks: list[str]) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.__getitem__, chunks)), self.kind)
 
 
+def _core(chunk: str) -> tuple[str, str]:
+    """A word of letters and the mark after it are encoded apart, and letter case plays no part."""
+    if chunk[-1:] in MARKS and chunk[:-1].isalpha():
+        chunk, mark = chunk[:-1], chunk[-1]
+    else:
+        mark = ""
+    return chunk.lower() if chunk.isascii() and "<|" not in chunk else chunk, mark
+
+
 def encode_texts(cache: ChunkIds, texts: list[str | None], end_id: int | None) -> list[np.ndarray]:
     """Each text's ids, then ``end_id`` if one is given."""
     split = [(t or "").replace("\n", " ").split(" ") for t in texts]
@@ -61,7 +97,7 @@ def encode_texts(cache: ChunkIds, texts: list[str | None], end_id: int | None) -
 
 def _tokenise(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = ChunkIds(path)
+        cache = chunk_ids(path)
         orders = np.random.default_rng(0).permuted(np.tile(np.arange(1 << 16, dtype=np.int64), (2, 1)), axis=1)
 
         def rows():
@@ -218,7 +254,7 @@ def pack_documents(
     are ignored. Ids must be integers.
     """
     spark = docs.sparkSession
-    cache = ChunkIds(tokenizer)
+    cache = chunk_ids(tokenizer)
     kind, vocabulary = cache.kind, max(cache.tokenizer.get_vocab_size(), end_id + 1)
     tokens = materialise(
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from steepgrid.llm.text_stats import base_counts
-from steepgrid.llm.words import HashCache, batched, rows_of, split_words
+from steepgrid.llm.words import batched, rows_of, split_words
 from steepgrid.session import materialise
 
 FEATURES = 256
@@ -24,9 +24,9 @@ FOLDS = 4
 _ROWS = pa.schema([("id", pa.int64()), ("stats", pa.list_(pa.float32()))])
 
 
-def statistics(text: str, words: list[bytes], cache: HashCache) -> list[float]:
+def statistics(text: str, words: list[bytes]) -> list[float]:
     """Numbers that describe a whole text, whatever its language."""
-    n, chars, symbols, lines, repeated, repeats = base_counts(text, words, cache)
+    n, chars, symbols, lines, repeated, repeats = base_counts(text, words)
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     of = np.bincount(raw, minlength=256)
     size, per_word = max(1, len(raw)), max(1, n)
@@ -58,12 +58,11 @@ N_STATS = 15 + 17
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = HashCache()
 
     def rows():
         for key, text in rows_of(batches, "id", "text"):
             text = text or ""
-            yield key, statistics(text, split_words(text), cache)
+            yield key, statistics(text, split_words(text))
 
     yield from batched(rows(), _ROWS)
 

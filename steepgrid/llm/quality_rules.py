@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from steepgrid.llm.text_stats import base_counts
-from steepgrid.llm.words import HashCache, batched, rows_of, split_words
+from steepgrid.llm.words import batched, rows_of, split_words
 from steepgrid.session import materialise
 
 MIN_WORDS = 50
@@ -56,14 +56,13 @@ def measures(text: str, counts: tuple[int, int, int, int, int, int]) -> dict[str
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = HashCache()
     # negated and ascending, so that searchsorted counts the cutoffs at or under a value
     grids = {rule: -np.array(cutoffs, float) for rule, cutoffs in RULES.items()}
 
     def rows():
         for key, text, stratum in rows_of(batches, "id", "text", "stratum"):
             text = text or ""
-            counts = base_counts(text, split_words(text), cache)
+            counts = base_counts(text, split_words(text))
             values = measures(text, counts)
             # number of leading (looser) cutoffs that do not reject the document
             loose = [int(np.searchsorted(grids[r], -values[r], "left")) for r in RULES]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from steepgrid.llm.words import HashCache, window_hashes
+from steepgrid.llm.words import window_hashes, word_hashes
 
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -38,8 +38,8 @@ def repeated_words(hashes: np.ndarray, width: int = 3) -> int:
     return int(marked.sum())
 
 
-def base_counts(text: str, words: list[bytes], cache: HashCache) -> tuple[int, int, int, int, int, int]:
+def base_counts(text: str, words: list[bytes]) -> tuple[int, int, int, int, int, int]:
     """Words, their code points, symbols, lines with a word, repeated lines, words in repeated windows."""
     lines, repeated = repeated_lines(text)
     symbols = sum(map(text.count, SYMBOLS))
-    return len(words), word_characters(text), symbols, lines, repeated, repeated_words(cache.of(words))
+    return len(words), word_characters(text), symbols, lines, repeated, repeated_words(word_hashes(words))
