@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from steepgrid.llm import packing, quality_model, quality_rules, sharding
+from steepgrid.llm import ngram_join, packing, quality_model, quality_rules, sharding
 from steepgrid.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,7 +28,11 @@ def op5_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.filter_by_rules(read_table(spark, "documents", sf_dir), read_table(spark, "labels", sf_dir))
 
 
+def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_by_shingles(read_table(spark, "documents", sf_dir))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_bm25_packing, op3_byte_shards, op4_rff_quality, op5_risk_rules)
+    f.__name__: f for f in (op1_bm25_packing, op3_byte_shards, op4_rff_quality, op5_risk_rules, op10_shingle_join)
 }
 ORACLES: dict[str, str] = {}
