@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from steepgrid.llm import line_dedup, ngram_join, packing, quality_model, quality_rules, sharding
+from steepgrid.llm import language_model, line_dedup, ngram_join, packing, quality_model, quality_rules, sharding
 from steepgrid.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,7 +37,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_near_lines(docs)
 
 
+def op9_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(read_table(spark, "documents", sf_dir))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_bm25_packing, op3_byte_shards, op4_rff_quality, op5_risk_rules, op7_line_dedup, op10_shingle_join)
+    f.__name__: f for f in (op1_bm25_packing, op3_byte_shards, op4_rff_quality, op5_risk_rules, op7_line_dedup, op9_attention_scores, op10_shingle_join)
 }
 ORACLES: dict[str, str] = {}
