@@ -55,10 +55,10 @@ class ChunkIds(dict):
         if len(self) >= CACHE_ENTRIES:
             self.clear()
             self[""] = b""
-        new = set(chain.from_iterable(texts)).difference(self)
+        new = [c for c in set(chain.from_iterable(texts)) if c not in self]
         parts = [(chunk, *_core(chunk)) for chunk in new]
         needed = {x for _, core, mark in parts for x in (core, mark)}
-        self._encode_words(list(needed.difference(self)))
+        self._encode_words([w for w in needed if w not in self])
         for chunk, core, mark in parts:
             self[chunk] = self[core] + self[mark]
 
