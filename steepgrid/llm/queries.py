@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from steepgrid.llm import language_model, line_dedup, ngram_join, packing, quality_model, quality_rules, sharding
+from steepgrid.llm import extraction, language_model, line_dedup, mixing, ngram_join, packing, quality_model, quality_rules, sharding, topk
 from steepgrid.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,7 +41,19 @@ def op9_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_texts(read_table(spark, "documents", sf_dir))
 
 
+def op2_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(read_table(spark, "embeddings", sf_dir))
+
+
+def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_rates(read_table(spark, "documents", sf_dir), read_table(spark, "labels", sf_dir))
+
+
+def op8_block_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract_main_text(read_table(spark, "pages", sf_dir))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_bm25_packing, op3_byte_shards, op4_rff_quality, op5_risk_rules, op7_line_dedup, op9_attention_scores, op10_shingle_join)
+    f.__name__: f for f in (op1_bm25_packing, op2_cover_tree_topk, op3_byte_shards, op4_rff_quality, op5_risk_rules, op6_soft_mixing, op7_line_dedup, op8_block_labels, op9_attention_scores, op10_shingle_join)
 }
 ORACLES: dict[str, str] = {}
