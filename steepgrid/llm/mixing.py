@@ -18,10 +18,12 @@ DOMAINS = ["clean", "low", "toxic"]
 TARGETS = {"clean": 0.985, "low": 0.005, "toxic": 0.01}
 BUCKETS = 1 << 16
 SHAPES = 64  # of the buckets, the last ones describe the text's characters
-CERTAIN = 4.0  # standard errors by which a word's share in a domain must differ to count
+FACTOR = 2.0  # a telling mark is this many times as frequent in a domain's documents as in all
+CERTAIN = 5.0  # and this many standard errors over what is expected
+LEAST, PART = 5, 0.05  # and in this many documents and this part of the domain
 ROUNDS = 30
 CLOSE = 1e-6  # stop when totals miss their targets by this share of all tokens
-HOLD = 0.05  # a rate this close to one is one copy
+HOLD = 0.1  # a rate this close to one is one copy
 
 _ROWS = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("marks", pa.binary())])
 
@@ -73,15 +75,25 @@ def _count_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def evidence(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log prior of each domain, and log-likelihood ratios of the buckets that clearly tell domains apart."""
+    """Log weight of each domain for a text without any telling mark, and what each mark adds.
+
+    A mark tells domains apart if some domain's documents hold it far more often than all documents do: by a factor,
+    by many standard errors, and in a fair part of the domain. Presence and absence of these marks count
+    (Bernoulli naive Bayes); all others say nothing.
+    """
     docs = counts[:, -1:].astype(float)
-    total = max(1.0, docs.sum())
-    share = (counts[:, :-1] + 0.5) / (docs + 1)
-    overall = (counts[:, :-1].sum(axis=0) + 0.5) / (total + 1)
-    error = np.sqrt(overall * (1 - overall) / np.maximum(docs, 1))
-    clear = (np.abs(share - overall) > CERTAIN * error) & (docs > 0)
-    ratio = np.where(clear.any(axis=0), np.log(share / overall), 0.0)
-    return np.log((docs[:, 0] + 0.5) / (total + 0.5 * len(docs))), ratio
+    seen = counts[:, :-1].astype(float)
+    overall = (seen.sum(axis=0) + 0.5) / (docs.sum() + 1)
+    share = (seen + 0.5) / (docs + 1)
+    expected = overall * docs
+    telling = (
+        (share > FACTOR * overall)
+        & (seen - expected > CERTAIN * np.sqrt(expected + 1))
+        & (seen >= np.maximum(LEAST, PART * docs))
+    ).any(axis=0)
+    here, gone = np.log(share) * telling, np.log1p(-np.minimum(share, 0.999)) * telling
+    prior = np.log((docs[:, 0] + 0.5) / (docs.sum() + 0.5 * len(docs)))
+    return prior + gone.sum(axis=1), here - gone
 
 
 @dataclass
@@ -223,7 +235,7 @@ def mix_rates(
     """Rates at which documents are taken so that the expected tokens of the domains match ``targets``.
 
     Domains are the classes of the labelled table. A classifier counts labelled documents by domain and hashed word
-    (all of them, in a table of fixed size) and gives every document posteriors. Rates start at one and move by projected
+    (all of them, in a table of fixed size) and gives every document posteriors (``evidence``). Rates start at one and move by projected
     gradient steps on the squared distance of expected totals from the targets, scaled by the curvature over rows not
     at zero; a step needs only sums of a fixed size, and a rate follows from the posteriors and the steps taken.
     The domain with the greatest target keeps its tokens. A token is a word.

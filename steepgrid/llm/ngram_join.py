@@ -7,7 +7,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from steepgrid.llm.linking import components, probably_in
 from steepgrid.llm.words import batched, lower_words, mixed, rows_of, window_hashes, word_hashes
@@ -349,3 +349,20 @@ def join_by_shingles(
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
     )
+
+
+def keep_one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT
+) -> DataFrame:
+    """One row of every component of ``join_by_shingles``, that with the smallest id; all columns stay.
+
+    Of rows that share a kept id one stays, the first by text. Rows without shingles or without id are linked with
+    nothing and stay.
+    """
+    joined = join_by_shingles(docs, id_col, text_col, width, percent)
+    kept = joined.where((F.col("n_shingles") == 0) | (F.col("component_id") == F.col(id_col)))
+    kept = kept.groupBy(F.col(id_col).alias("_kept")).agg(F.min("n_shingles").alias("_least"))
+    rows = docs.join(materialise(kept, "kept-documents"), F.col(id_col).cast("long") == F.col("_kept"))
+    place = F.row_number().over(Window.partitionBy("_kept").orderBy(F.xxhash64(text_col), text_col))
+    one = rows.withColumn("_place", place).where((F.col("_place") == 1) | (F.col("_least") == 0))
+    return one.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -164,20 +165,30 @@ def _raw_bins(features: Features, weights: dict[int, np.ndarray]):
     return run
 
 
-def _score(features: Features | None, weights, centres, levels):
+@dataclass
+class Model:
+    """Ridge weights on Fourier features and the calibrated levels; without features every score is 0.5."""
+
+    features: Features | None = None
+    weights: np.ndarray | None = None
+    centres: np.ndarray | None = None
+    levels: np.ndarray | None = None
+
+    def score(self, stats: np.ndarray) -> np.ndarray:
+        if self.features is None:
+            return np.full(len(stats), 0.5)
+        raw = self.features.of(stats) @ self.weights
+        # the raw score breaks ties on the calibrator's flat parts
+        return 0.999 * np.interp(raw, self.centres, self.levels) + 0.001 * np.clip((raw + 0.5) / 2, 0, 1)
+
+
+def _score(model: Model):
     schema = pa.schema([("id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if features is None:
-                score = np.full(batch.num_rows, 0.5)
-            else:
-                raw = features.of(_stack(batch)) @ weights
-                # the raw score breaks ties on the calibrator's flat parts
-                score = 0.999 * np.interp(raw, centres, levels) + 0.001 * np.clip((raw + 0.5) / 2, 0, 1)
-            yield pa.record_batch([batch.column("id"), pa.array(score)], schema=schema)
+            if batch.num_rows:
+                yield pa.record_batch([batch.column("id"), pa.array(model.score(_stack(batch)))], schema=schema)
 
     return run
 
@@ -187,28 +198,10 @@ def held_out(id_col) -> F.Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def score_quality(
-    docs: DataFrame,
-    labels: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    features: int = FEATURES,
-    ridge: float = RIDGE,
-    threshold: float = THRESHOLD,
-) -> DataFrame:
-    """Score every whole text between 0 and 1, higher where label 1 is likelier.
-
-    Statistics of each text go through random Fourier features. Labelled rows outside the held-out part
-    add up to normal equations: a matrix of fixed size per partition and fold, summed by Spark; only the sums
-    reach the driver. The folds are what is left of the id's CRC-32 by four. Isotonic calibration uses
-    out-of-fold raw scores, counted over all labelled rows in a fixed number of steps. The model has learnt
-    from text statistics alone: ids, sources, languages and labels are not inputs.
-
-    Returns ``id_col, held_out, score, predicted`` (1 from ``threshold`` on). Null and empty texts are scored
-    like any text; repeated rows get equal scores; an id labelled more than once counts once, good only
-    if all its labels are; null labels and null ids do not teach; without any usable label every
-    score is 0.5; other columns are ignored.
-    """
+def fit_quality(
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, features: int, ridge: float
+) -> tuple[Model, DataFrame]:
+    """The fitted model, and the id and statistics of every row."""
     measured = materialise(
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
             _measure, "id long, stats array<float>"
@@ -233,38 +226,84 @@ def score_quality(
         *[F.avg(F.col("stats")[i]).alias(f"m{i}") for i in range(N_STATS)],
         *[F.stddev_pop(F.col("stats")[i]).alias(f"s{i}") for i in range(N_STATS)],
     ).first()
-    if moments["n"]:
-        mean = np.array([moments[f"m{i}"] for i in range(N_STATS)])
-        scale = np.array([moments[f"s{i}"] for i in range(N_STATS)])
-        z = Features(mean, np.where(scale > 1e-6, scale, 1.0), features, SEED)
-        sums = (
-            learn.mapInArrow(_normal_equations(z), "fold int, row int, sums array<double>")
-            .groupBy("fold", "row")
-            .applyInPandas(_add, "fold int, row int, sums array<double>")
-            .toPandas()  # folds times features rows
-        )
-        by_fold = {
-            int(fold): np.stack(own.sort_values("row")["sums"].to_list()) for fold, own in sums.groupby("fold")
-        }
-        total = sum(by_fold.values())
-        unseen = {k: solve(total - own if len(by_fold) > 1 else total, ridge) for k, own in by_fold.items()}
-        steps = (
-            learn.mapInArrow(_raw_bins(z, unseen), "bin int, good long, docs long")
-            .groupBy("bin")
-            .agg(F.sum("good").alias("good"), F.sum("docs").alias("docs"))
-            .orderBy("bin")
-            .toPandas()  # at most BINS rows
-        )
-        weights = steps["docs"].to_numpy(float)
-        levels = isotonic(steps["good"].to_numpy(float) / weights, weights)
-        centres = (steps["bin"].to_numpy(float) + 0.5) / (BINS / 2) - 0.5
-        scorer = _score(z, solve(total, ridge), centres, levels)
-    else:
-        scorer = _score(None, None, None, None)
-    scored = measured.mapInArrow(scorer, "id long, score double")
+    if not moments["n"]:
+        return Model(), measured
+    mean = np.array([moments[f"m{i}"] for i in range(N_STATS)])
+    scale = np.array([moments[f"s{i}"] for i in range(N_STATS)])
+    z = Features(mean, np.where(scale > 1e-6, scale, 1.0), features, SEED)
+    sums = (
+        learn.mapInArrow(_normal_equations(z), "fold int, row int, sums array<double>")
+        .groupBy("fold", "row")
+        .applyInPandas(_add, "fold int, row int, sums array<double>")
+        .toPandas()  # folds times features rows
+    )
+    by_fold = {int(fold): np.stack(own.sort_values("row")["sums"].to_list()) for fold, own in sums.groupby("fold")}
+    total = sum(by_fold.values())
+    unseen = {k: solve(total - own if len(by_fold) > 1 else total, ridge) for k, own in by_fold.items()}
+    steps = (
+        learn.mapInArrow(_raw_bins(z, unseen), "bin int, good long, docs long")
+        .groupBy("bin")
+        .agg(F.sum("good").alias("good"), F.sum("docs").alias("docs"))
+        .orderBy("bin")
+        .toPandas()  # at most BINS rows
+    )
+    weights = steps["docs"].to_numpy(float)
+    levels = isotonic(steps["good"].to_numpy(float) / weights, weights)
+    centres = (steps["bin"].to_numpy(float) + 0.5) / (BINS / 2) - 0.5
+    return Model(z, solve(total, ridge), centres, levels), measured
+
+
+def score_quality(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    features: int = FEATURES,
+    ridge: float = RIDGE,
+    threshold: float = THRESHOLD,
+) -> DataFrame:
+    """Score every whole text between 0 and 1, higher where label 1 is likelier.
+
+    Statistics of each text go through random Fourier features. Labelled rows outside the held-out part
+    add up to normal equations: a matrix of fixed size per partition and fold, summed by Spark; only the sums
+    reach the driver. The folds are what is left of the id's CRC-32 by four. Isotonic calibration uses
+    out-of-fold raw scores, counted over all labelled rows in a fixed number of steps. The model has learnt
+    from text statistics alone: ids, sources, languages and labels are not inputs.
+
+    Returns ``id_col, held_out, score, predicted`` (1 from ``threshold`` on). Null and empty texts are scored
+    like any text; repeated rows get equal scores; an id labelled more than once counts once, good only
+    if all its labels are; null labels and null ids do not teach; without any usable label every
+    score is 0.5; other columns are ignored.
+    """
+    model, measured = fit_quality(docs, labels, id_col, text_col, features, ridge)
+    scored = measured.mapInArrow(_score(model), "id long, score double")
     return scored.select(
         F.col("id").alias(id_col),
         held_out(F.col("id")).alias("held_out"),
         "score",
         F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"),
     )
+
+
+def keep_good(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = THRESHOLD,
+) -> DataFrame:
+    """The rows whose text scores at least ``threshold``, with all their columns. See ``score_quality``.
+
+    The score is computed beside the text once more, which costs less than moving texts to a join. Without labels
+    nothing is known and all rows stay.
+    """
+    model, _ = fit_quality(docs, labels, id_col, text_col, FEATURES, RIDGE)
+    if model.features is None:
+        return docs
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        stats = [statistics(t or "", split_words(t)) for t in texts]
+        return pd.Series(model.score(np.array(stats)) if stats else [], dtype="float64")
+
+    return docs.where(score(F.col(text_col).cast("string")) >= threshold)
