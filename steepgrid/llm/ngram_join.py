@@ -15,16 +15,16 @@ from steepgrid.session import materialise
 
 WIDTH = 5
 PERCENT = 75
-SLACK = 0.05  # share of a document's shingles that its prefix is longer than the shortest possible
 BLOCK = 512  # documents of one inverted index
 QUERIES = 256  # queries that one index answers in one unit of work
-COUNTED = 2_000_000  # shingles counted together when frequent ones are looked for
-FREQUENT = 1000  # a shingle is frequent if one in so many documents of some stretch holds it
-ORDERED = 200_000  # frequent shingles that the global order knows by their counts
+COUNTED = 4_000_000  # shingles sorted together
+KEY_BYTES = 5  # of a shingle's hash, kept while repeated shingles are looked for
+RANGES = 64  # parts of the key space, counted apart
+MAP_BITS = 27  # size of the map of repeated shingles: 16 MB whatever the input
 LONG = 0.02  # weight of the list length in choosing how many lists are probed
 
 _SET_ROWS = pa.schema(
-    [("id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("prefix", pa.list_(pa.int64()))]
+    [("id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("prefix", pa.list_(pa.int64())), ("shingles", pa.binary())]
 )
 
 
@@ -51,76 +51,90 @@ def least_overlap(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
-def spare(n: int, slack: float) -> int:
-    """Shingles beyond the first that linked prefixes share, if the smaller document has n."""
-    return int(slack * n)
+def _keys(width: int):
+    """Leading bytes of all sets' shingles, sorted and cut into ranges; an equal neighbour marks a repeated one."""
+    schema = pa.schema([("range", pa.int32()), ("keys", pa.binary())])
 
-
-def _frequent(width: int):
-    schema = pa.schema([("shingle", pa.int64()), ("docs", pa.int64())])
-
-    def count(held: list[np.ndarray]):
-        both, docs = np.unique(np.concatenate(held), return_counts=True)
-        often = docs >= max(2, -(-len(held) // FREQUENT))
-        return pa.record_batch([pa.array(both[often].view(np.int64)), pa.array(docs[often])], schema=schema)
+    def cut(held: list[np.ndarray]):
+        keys = np.sort(np.concatenate(held) >> np.uint64(64 - 8 * KEY_BYTES))
+        # twice is as good as often
+        keys = keys[np.concatenate([[True, True], keys[2:] != keys[:-2]])[: len(keys)]]
+        step = (1 << 8 * KEY_BYTES) // RANGES
+        bounds = np.searchsorted(keys, np.arange(1, RANGES, dtype=np.uint64) * np.uint64(step))
+        parts = [x.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes() for x in np.split(keys, bounds)]
+        return pa.record_batch([pa.array(range(RANGES), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        seen: set[int] = set()
         for (text,) in rows_of(batches, "text"):
-            held.append(shingles(text, width))
-            size += len(held[-1])
+            found = shingles(text, width)
+            if not len(found) or (sid := set_id(found)) in seen:
+                continue
+            seen.add(sid)
+            held.append(found)
+            size += len(found)
             if size >= COUNTED:
-                yield count(held)
+                yield cut(held)
                 held, size = [], 0
         if held:
-            yield count(held)
+            yield cut(held)
 
     return run
 
 
-def _prefixes(width: int, percent: int, slack: float, frequent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = frequent.value
-        seen: set[int] = set()
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per range, the part of the map whose bits stand for keys that come at least twice.
 
-        def rows():
-            for key, text in rows_of(batches, "id", "text"):
-                found = shingles(text, width)
-                n = len(found)
-                if not n:
-                    yield key, 0, None, None
-                    continue
-                sid = set_id(found)
-                if sid in seen:
-                    yield key, n, sid, None
-                    continue
-                seen.add(sid)
-                length = n - least_overlap(n, percent) + 1 + spare(n, slack)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                    place = np.where(known[at] == found, rank[at], -1)
-                    found = found[np.argsort(place, kind="stable")]  # rare ones by hash, then the frequent by count
-                yield key, n, sid, found[:length].view(np.int64).tolist()
+    Keys are held apart by their next bits, so that a task sorts a part at a time.
+    """
+    schema = pa.schema([("range", pa.int32()), ("bits", pa.binary())])
+    rows = rows_of(batches, "range", "keys")
+    for number, blobs in groupby(rows, key=lambda r: r[0]):
+        size = 1 << MAP_BITS
+        bits = np.zeros(size // RANGES, bool)
+        once = np.zeros(0, np.uint64)
+        for _, blob in blobs:
+            raw = np.zeros((len(blob) // KEY_BYTES, 8), np.uint8)
+            raw[:, :KEY_BYTES] = np.frombuffer(blob, np.uint8).reshape(-1, KEY_BYTES)
+            once = np.sort(np.concatenate([once, raw.view(np.uint64).ravel()]), kind="stable")
+            again = once[1:] == once[:-1]
+            bits[_place(once[1:][again]) - number * len(bits)] = True
+            once = once[np.concatenate([[True], ~again])] if len(once) else once
+        yield pa.record_batch([pa.array([number], pa.int32()), pa.array([np.packbits(bits).tobytes()])], schema=schema)
 
-        yield from batched(rows(), _SET_ROWS, 256)
 
-    return run
+def _place(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(8 * KEY_BYTES - MAP_BITS)).astype(np.int64)
 
 
-def _sets(width: int):
-    schema = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
+def _prefixes(width: int, percent: int, repeated):
+    """Every row's set; a set that may have a partner with its prefix and its shingles, once in a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(repeated.value, np.uint8)
         seen: set[int] = set()
 
         def rows():
-            for (text,) in rows_of(batches, "text"):
+            for key, text in rows_of(batches, "id", "text"):
                 found = shingles(text, width)
-                if len(found) and (sid := set_id(found)) not in seen:
+                n = len(found)
+                if not n:
+                    yield key, 0, None, None, None
+                    continue
+                sid = set_id(found)
+                if sid not in seen:
                     seen.add(sid)
-                    yield sid, len(found), found.tobytes()
+                    place = _place(found >> np.uint64(64 - 8 * KEY_BYTES))
+                    shared = found[(bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1]
+                    spare = len(shared) - least_overlap(n, percent)
+                    if spare >= 0:
+                        shared = np.sort(mixed(shared))[: spare + 1]
+                        yield key, n, sid, shared.view(np.int64).tolist(), found.tobytes()
+                        continue
+                yield key, n, sid, None, None
 
-        yield from batched(rows(), schema, 256)
+        yield from batched(rows(), _SET_ROWS, 256)
 
     return run
 
@@ -225,16 +239,15 @@ def join_by_shingles(
     text_col: str = "text",
     width: int = WIDTH,
     percent: int = PERCENT,
-    slack: float = SLACK,
 ) -> DataFrame:
     """Every document's component under links of at least ``percent`` Jaccard similarity of word shingles.
 
-    1. Equal sets are one set from here on. All shingles have one global order: frequent ones last, by count.
-       (Which ones count as frequent changes the work and never the result.) A set's prefix is its first
-       n - T + 1 + s shingles, T the least overlap it needs and s ``slack`` of n, so two linked sets share more
-       than s shingles of both prefixes.
-    2. Prefix shingles of a single set are dropped by an aggregate and a bounded filter; a set left with fewer than a
-       partner would share goes, twice. What is left is mostly linked.
+    1. Equal sets are one set from here on. Which shingles more than one set holds is counted over all documents in
+       sorted blocks of hash bytes, range by range, and kept in a bit map of fixed size (two shingles may share a
+       bit, which lets more through and loses nothing).
+    2. A partner shares at least T of a set's n shingles, all of them repeated. A set with fewer repeated shingles
+       has no partner. Of m repeated ones, the first m - T + 1 in hash order are the prefix: two linked sets
+       share a shingle of both prefixes.
     3. The shingle's least set is its list's centre; a centre's cluster is every set it meets in a list. Two linked
        sets share a list, so they meet in the cluster of its centre. Clusters are cut into blocks, each an
        inverted index (``Index.search``). First the centres are the queries. Then, in each cluster, only sets
@@ -247,55 +260,43 @@ def join_by_shingles(
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    often = (
+    parts = (
         texts.select("text")
-        .mapInArrow(_frequent(width), "shingle long, docs long")
-        .groupBy("shingle")
-        .agg(F.sum("docs").alias("docs"))
-        .orderBy(F.desc("docs"), "shingle")
-        .limit(ORDERED)  # only the order of the prefix filter; any set gives the same links
-        .toPandas()
+        .mapInArrow(_keys(width), "range int, keys binary")
+        .repartition(RANGES, "range")
+        .sortWithinPartitions("range")
+        .mapInArrow(_repeated, "range int, bits binary")
+        .toPandas()  # a map of fixed size
     )
-    known = often["shingle"].to_numpy(np.int64).view(np.uint64)
-    rank = np.argsort(np.lexsort((known, often["docs"].to_numpy())))
-    by_key = np.argsort(known)
-    frequent = spark.sparkContext.broadcast((known[by_key], rank[by_key].astype(np.int64)))
+    bits = bytearray((1 << MAP_BITS) // 8)
+    for number, part in zip(parts["range"], parts["bits"], strict=True):
+        bits[number * len(part) : (number + 1) * len(part)] = part
     table = materialise(
-        texts.mapInArrow(_prefixes(width, percent, slack, frequent), "id long, n long, sid long, prefix array<long>"),
-        "shingle-prefixes",
+        texts.mapInArrow(
+            _prefixes(width, percent, spark.sparkContext.broadcast(bytes(bits))),
+            "id long, n long, sid long, prefix array<long>, shingles binary",
+        ),
+        "shingle-sets",
     )
-    whole = table.where("prefix is not null").select("sid", "n", F.explode("prefix").alias("shingle"))
-    # fewest shingles shared with a partner, which may be as small as percent of n
-    fewest = (F.lit(1) + F.floor(F.lit(slack) * F.ceil(F.lit(percent / 100) * F.col("n") - F.lit(1e-9)) - F.lit(1e-9))).cast("long")
-    fewest = F.greatest(F.lit(1), fewest)
-
-    def shared(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("shingle").agg(F.count("*").alias("_c")).where("_c > 1").select("shingle")
-
-    def enough(rows: DataFrame, label: str) -> DataFrame:
-        return materialise(
-            rows.groupBy("sid", "n")
-            .agg(F.collect_set("shingle").alias("common"))
-            .where(F.size("common") >= fewest),
-            label,
-        )
-
-    repeated = materialise(shared(whole), "shared-shingles")
-    left = enough(probably_in(whole, "shingle", repeated), "shared-sets")
-    for _ in range(2):
-        rows = left.select("sid", "n", F.explode("common").alias("shingle"))
-        left = enough(rows.join(shared(rows), "shingle", "left_semi"), "shared-sets")
-    rows = left.select("sid", F.explode("common").alias("shingle"))
-    centres = rows.groupBy("shingle").agg(F.min("sid").alias("unit"), F.count("*").alias("_c")).where("_c > 1")
-    clusters = materialise(rows.join(centres.drop("_c"), "shingle").select("unit", "sid").distinct(), "clusters")
-
-    wanted = left.select("sid")
-    sets = materialise(
-        probably_in(texts.select("text").mapInArrow(_sets(width), "sid long, n long, shingles binary"), "sid", wanted)
+    rows = table.where("prefix is not null").select("sid", F.explode("prefix").alias("shingle"))
+    centres = (
+        rows.groupBy("shingle").agg(F.min("sid").alias("unit"), F.max("sid").alias("_other")).where("unit <> _other")
+    )
+    centres = materialise(centres.select(F.col("shingle").alias("_shingle"), "unit"), "centres")
+    clusters = materialise(
+        probably_in(rows, "shingle", centres)
+        .join(centres, F.col("shingle") == F.col("_shingle"))
+        .select("unit", "sid")
+        .distinct(),
+        "clusters",
+    )
+    wanted = materialise(clusters.select("sid").distinct(), "wanted-sets")
+    sets = (
+        probably_in(table.where("prefix is not null").select("sid", "shingles"), "sid", wanted)
         .join(wanted, "sid", "left_semi")
-        .dropDuplicates(["sid"]),
-        "shingle-sets",
+        .dropDuplicates(["sid"])
     )
+    sets = materialise(sets, "wanted-shingles")
     sizes = clusters.groupBy("unit").agg(F.count("*").alias("_size"))
     parted = clusters.join(sizes, "unit").withColumn(
         "part", F.pmod(F.xxhash64("sid"), F.ceil(F.col("_size") / BLOCK)).cast("long")

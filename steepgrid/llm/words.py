@@ -46,6 +46,9 @@ def lower_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * _MIX[0]
@@ -58,9 +61,10 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     count = len(hashes) - width + 1
     if count <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(count, np.uint64)
-    for i in range(width):
-        out = mixed(out + np.uint64(0x9E3779B97F4A7C15)) + hashes[i : i + count]
+    out = hashes[:count].copy()
+    for i in range(1, width):
+        out *= _STEP
+        out += hashes[i : i + count]
     return mixed(out)
 
 
