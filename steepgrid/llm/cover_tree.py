@@ -48,7 +48,7 @@ def build(vectors: np.ndarray, ids: np.ndarray) -> Tree:
         a, b = first[here], last[here]
         if b - a <= LEAF or radii[here] == 0:
             continue
-        rows = order[a:b]
+        rows = order[a:b].copy()
         nearest = distances(rows, centres[here])
         chosen = [int(np.argmin(nearest))]
         nearest = distances(rows, points[rows[chosen[0]]])
