@@ -233,6 +233,27 @@ def _units(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: int)
     )
 
 
+def _by_size(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Clusters parted by size, so that sets too unlike in size to be linked are not searched together.
+
+    Sizes fall into classes a factor of 100 / percent wide; linked sets are of one class or of neighbours. A set goes to
+    the part of its own class and to the next higher; a part is kept if it has a set of its own class and another
+    set, so a cluster within one class stays one part.
+    """
+    width = float(np.log(100 / percent))
+    sized = clusters.join(
+        sets.select("sid", F.floor(F.log(F.octet_length("shingles") / 8) / F.lit(width)).cast("int").alias("_own")), "sid"
+    )
+    sized = sized.select("unit", "sid", "_own", F.explode(F.array(F.col("_own"), F.col("_own") + 1)).alias("_class"))
+    kept = (
+        sized.groupBy("unit", "_class")
+        .agg(F.max("_own").alias("_top"), F.count("*").alias("_c"))
+        .where((F.col("_top") == F.col("_class")) & (F.col("_c") > 1))
+        .select("unit", "_class")
+    )
+    return sized.join(kept, ["unit", "_class"]).select(F.xxhash64("unit", "_class").alias("unit"), "sid")
+
+
 def join_by_shingles(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -249,8 +270,8 @@ def join_by_shingles(
        has no partner. Of m repeated ones, the first m - T + 1 in hash order are the prefix: two linked sets
        share a shingle of both prefixes.
     3. The shingle's least set is its list's centre; a centre's cluster is every set it meets in a list. Two linked
-       sets share a list, so they meet in the cluster of its centre. Clusters are cut into blocks, each an
-       inverted index (``Index.search``). First the centres are the queries. Then, in each cluster, only sets
+       sets share a list, so they meet in the cluster of its centre. Clusters are parted by size (``_by_size``) and cut
+       into blocks, each an inverted index (``Index.search``). First each cluster's least set is the query. Then, in each cluster, only sets
        outside the cluster's largest component so far ask, and links that connect nothing new are not written.
     4. Components of the links, and each one's least document.
 
@@ -297,12 +318,15 @@ def join_by_shingles(
         .dropDuplicates(["sid"])
     )
     sets = materialise(sets, "wanted-shingles")
+    clusters = materialise(_by_size(clusters, sets, percent), "sized-clusters")
     sizes = clusters.groupBy("unit").agg(F.count("*").alias("_size"))
     parted = clusters.join(sizes, "unit").withColumn(
         "part", F.pmod(F.xxhash64("sid"), F.ceil(F.col("_size") / BLOCK)).cast("long")
     )
-    first = parted.where("sid <> unit").select("unit", "part", "sid", F.col("sid").alias("label"))
-    asking = first.select("unit", "part").distinct().select("unit", "part", F.col("unit").alias("sid"), F.col("unit").alias("label"))
+    lead = parted.groupBy("unit").agg(F.min("sid").alias("_lead"))
+    first = parted.join(lead, "unit").where("sid <> _lead").select("unit", "part", "sid", F.col("sid").alias("label"), "_lead")
+    asking = first.select("unit", "part", F.col("_lead").alias("sid"), F.col("_lead").alias("label")).distinct()
+    first = first.drop("_lead")
     links = materialise(_units(asking, first, sets, percent), "star-links")
     labels = components(links)
 
