@@ -385,6 +385,22 @@ def test_probabilities_add_up_to_one():
         assert np.bincount(v.classes, p) == pytest.approx(1)
 
 
+def test_classes_follow_what_windows_are_about():
+    rng = np.random.default_rng(2)
+    topic = rng.integers(0, 2, 500)
+    rows = topic[:, None] * 200 + np.minimum(rng.geometric(0.02, (500, attention.SPAN)) - 1, 199)
+    counts = np.bincount(rows.ravel(), minlength=401).astype(float)  # ids 0-199 and 200-399, then the end
+    vectors = attention.id_vectors(rows, counts)
+    assert vectors[400].tolist() == [0] * vectors.shape[1]
+    v = attention.vocabulary(counts, np.ones(401, bool), vectors)
+    assert v.classes.min() == 0 and len(np.unique(v.classes)) == v.n_classes
+    np.testing.assert_allclose(np.bincount(v.classes, v.share), 1)
+    seen = np.flatnonzero((counts > 0) & (v.classes > attention.SINGLES))
+    for c in np.unique(v.classes[seen]):
+        sides = seen[v.classes[seen] == c] >= 200
+        assert sides.all() or not sides.any()
+
+
 def test_windows_score_every_id_once_whatever_the_batch():
     v, model, members = small_model()
     ends = np.zeros(44, bool)
