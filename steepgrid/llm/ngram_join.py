@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from steepgrid.llm.linking import components, probably_in
-from steepgrid.llm.words import batched, lower_words, mixed, rows_of, window_hashes, word_hashes
+from steepgrid.llm.words import batched, hashed_texts, mixed, rows_of, window_hashes
 from steepgrid.session import materialise
 
 WIDTH = 5
@@ -31,13 +31,17 @@ _SET_ROWS = pa.schema(
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles; a shorter text is one shingle."""
-    words = lower_words(text)
-    if not words:
-        return np.empty(0, np.uint64)
-    hashes = word_hashes(words)
-    if len(words) < width:
-        return window_hashes(hashes, len(words)) ^ np.uint64(len(words))
-    return np.unique(window_hashes(hashes, width))
+    return next(shingle_sets([text], width))
+
+
+def shingle_sets(texts: list[str | None], width: int = WIDTH) -> Iterator[np.ndarray]:
+    """``shingles`` of every text."""
+    for hashes in hashed_texts(texts):
+        if 0 < len(hashes) < width:
+            yield window_hashes(hashes, len(hashes)) ^ np.uint64(len(hashes))
+            continue
+        found = np.sort(window_hashes(hashes, width))
+        yield found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
 
 
 def set_id(found: np.ndarray) -> int:
@@ -68,8 +72,7 @@ def _keys(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         seen: set[int] = set()
-        for (text,) in rows_of(batches, "text"):
-            found = shingles(text, width)
+        for found in (x for batch in batches for x in shingle_sets(batch.column("text").to_pylist(), width)):
             if not len(found) or (sid := set_id(found)) in seen:
                 continue
             seen.add(sid)
@@ -117,8 +120,12 @@ def _prefixes(width: int, percent: int, repeated):
         seen: set[int] = set()
 
         def rows():
-            for key, text in rows_of(batches, "id", "text"):
-                found = shingles(text, width)
+            sets = (
+                x
+                for batch in batches
+                for x in zip(batch.column("id").to_pylist(), shingle_sets(batch.column("text").to_pylist(), width), strict=True)
+            )
+            for key, found in sets:
                 n = len(found)
                 if not n:
                     yield key, 0, None, None, None

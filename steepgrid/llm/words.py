@@ -68,6 +68,77 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return mixed(out)
 
 
+# Every byte's place in a word's hash: A-Z as a-z, and nothing for the six separators.
+_SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_BYTE_VALUES = mixed(_LOWER.astype(np.uint64) * _STEP + _STEP)
+_BLANK = np.isin(np.arange(256), list(_SEPARATORS))
+_BYTE_VALUES[_BLANK] = 0
+_BASE = 0x9FB21C651E98DF25  # odd, so that it has an inverse
+_PIECE = 1 << 18  # bytes hashed in one step
+_to_blank = bytes.maketrans(_SEPARATORS, b" " * len(_SEPARATORS))
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, count: int) -> np.ndarray:
+    """Powers of ``base`` from 0 on, as many as asked for and at least a piece's."""
+    known = _powers.get(base)
+    if known is None or len(known) < count:
+        steps = np.full(max(count, _PIECE), base, np.uint64)
+        steps[0] = 1
+        _powers[base] = np.cumprod(steps, dtype=np.uint64)
+    return _powers[base][:count]
+
+
+def _hashes_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of every word: a polynomial of its lower-cased bytes, wherever it stands."""
+    raw = np.frombuffer(data, np.uint8)
+    edge = np.diff(~_BLANK[raw], prepend=False, append=False)
+    starts, ends = np.flatnonzero(edge).reshape(-1, 2).T
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUES[raw] * _power(_BASE, len(raw)), out=sums[1:])
+    moved = (sums[ends] - sums[starts]) * _power(pow(_BASE, -1, 1 << 64), len(raw))[starts]
+    return mixed(moved + (ends - starts).astype(np.uint64)), starts
+
+
+def hashed_texts(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """Hashes of every text's lower-cased words, many texts in one step; a long text in pieces that end at a blank."""
+    held: list[bytes] = []
+    size = 0
+    for text in texts:
+        data = (text or "").encode("utf-8", "surrogatepass")
+        if len(data) > _PIECE:
+            yield from _hashed_together(held)
+            held, size = [], 0
+            yield _hashed_long(data.translate(_to_blank))
+            continue
+        if size + len(data) >= _PIECE:
+            yield from _hashed_together(held)
+            held, size = [], 0
+        held.append(data)
+        size += len(data) + 1
+    yield from _hashed_together(held)
+
+
+def _hashed_together(texts: list[bytes]) -> Iterator[np.ndarray]:
+    if texts:
+        hashes, starts = _hashes_of(b" ".join(texts))
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        yield from np.split(hashes, np.searchsorted(starts, ends[:-1]))
+
+
+def _hashed_long(data: bytes) -> np.ndarray:
+    parts, at = [], 0
+    while at < len(data):
+        end = len(data) if len(data) - at <= _PIECE else data.rfind(b" ", at, at + _PIECE)
+        if end <= at:  # one word longer than a piece
+            end = data.find(b" ", at + 1)
+            end = len(data) if end < 0 else end
+        parts.append(_hashes_of(data[at:end])[0])
+        at = end
+    return np.concatenate(parts)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """Rows of Arrow batches as tuples of Python values."""
     for batch in batches:

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from steepgrid.llm import (
     attention, cover_tree, extraction, language_model, line_dedup, linking, mixing, ngram_join, packing, quality_model,
-    quality_rules, sharding, topk,
+    quality_rules, sharding, topk, words,
 )
 from steepgrid.llm.text_stats import base_counts
 from steepgrid.llm.words import split_words
@@ -136,6 +136,20 @@ def test_chunks_encode_like_whole_texts():
     assert [x.tolist() for x in got] == [cache.tokenizer.encode(t, add_special_tokens=False).ids for t in odd]
 
 
+# words
+
+
+def test_words_hash_alike_wherever_they_stand():
+    rng = np.random.default_rng(2)
+    letters = np.array(list("aAbz\u00e9 \t\n\x0b\x0c\r\x1c\x85."))
+    texts = ["".join(rng.choice(letters, n)) for n in (0, 1, 7, 80, 4000)] + [None, "", " \t"]
+    texts += ["y" * 700_000 + " tail", "a B " * 200_000]  # longer than one piece
+    known, back = {}, {}
+    for text, hashes in zip(texts, words.hashed_texts(texts), strict=True):
+        for word, value in zip(words.lower_words(text), hashes.tolist(), strict=True):
+            assert known.setdefault(word, value) == value and back.setdefault(value, word) == word
+
+
 # 2 top-k
 
 
