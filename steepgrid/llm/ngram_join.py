@@ -25,7 +25,8 @@ LONG = 1.0  # weight of the list length in choosing how many lists are probed
 PROBES = 8192  # looked up in one step
 
 _SET_ROWS = pa.schema(
-    [("id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("prefix", pa.list_(pa.int64())), ("shingles", pa.binary())]
+    [("id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("prefix", pa.list_(pa.int64()))]
+    + [("shingles", pa.binary()), ("parity", pa.binary())]
 )
 
 
@@ -44,6 +45,13 @@ def shingle_sets(texts: list[str | None], width: int = WIDTH) -> Iterator[np.nda
         yield found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
 
 
+def parity(found: np.ndarray) -> bytes:
+    """A set's bit map, about a bit a shingle: a bit is set if an odd number of shingles falls on its place."""
+    size = max(64, 1 << (len(found) - 1).bit_length())
+    counts = np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def set_id(found: np.ndarray) -> int:
     """A number that stands for the whole set."""
     both = np.array([np.bitwise_xor.reduce(found), found.sum(dtype=np.uint64) + np.uint64(len(found))], np.uint64)
@@ -128,7 +136,7 @@ def _prefixes(width: int, percent: int, repeated):
             for key, found in sets:
                 n = len(found)
                 if not n:
-                    yield key, 0, None, None, None
+                    yield key, 0, None, None, None, None
                     continue
                 sid = set_id(found)
                 if sid not in seen:
@@ -138,9 +146,9 @@ def _prefixes(width: int, percent: int, repeated):
                     spare = len(shared) - least_overlap(n, percent)
                     if spare >= 0:
                         shared = np.sort(mixed(shared))[: spare + 1]
-                        yield key, n, sid, shared.view(np.int64).tolist(), found.tobytes()
+                        yield key, n, sid, shared.view(np.int64).tolist(), found.tobytes(), parity(found)
                         continue
-                yield key, n, sid, None, None
+                yield key, n, sid, None, None, None
 
         yield from batched(rows(), _SET_ROWS, 256)
 
@@ -236,11 +244,77 @@ def _search(percent: int):
     return run
 
 
+def _foldings(maps: np.ndarray, levels: int) -> Iterator[np.ndarray]:
+    """Parity maps at their own size, then halved up to ``levels`` times."""
+    yield maps
+    for _ in range(levels):
+        half = maps.shape[-1] // 2
+        if not half:
+            return
+        maps = maps[..., :half] ^ maps[..., half:]
+        yield maps
+
+
+def _plausible(percent: int):
+    """Rows of each unit that may have a link in it.
+
+    Two sets differ in at least as many shingles as their parity maps in bits, and linked sets in at most
+    (100 - percent) / (100 + percent) of their sizes' sum.
+    """
+    schema = pa.schema([(name, pa.int64()) for name in ("unit", "part", "sid", "label")] + [("asks", pa.bool_())])
+    levels = int(np.log2(100 / percent)) + 1  # linked sets' maps differ by at most so many doublings
+
+    def keep(unit: list[tuple]) -> Iterator[tuple]:
+        members = [r for r in unit if not r[2]]
+        by_length: dict[int, list[int]] = {}
+        for place, r in enumerate(members):
+            by_length.setdefault(len(r[6]) // 8, []).append(place)
+        stacks = []
+        for length, places in by_length.items():
+            maps = np.frombuffer(b"".join(members[i][6] for i in places), np.uint64).reshape(-1, length)
+            sizes, labels = (np.array([members[i][k] for i in places], np.int64) for k in (5, 4))
+            for fold, some in enumerate(_foldings(maps, levels)):
+                stacks.append((some.shape[1], fold, some, np.array(places), sizes, labels))
+        used = np.zeros(len(members), bool)
+        for r in unit:
+            if not r[2]:
+                continue
+            found = False
+            for mine, own in enumerate(_foldings(np.frombuffer(r[6], np.uint64), levels)):
+                for length, fold, maps, places, sizes, labels in stacks:
+                    if length != len(own) or (fold and mine):  # only the larger one is folded
+                        continue
+                    differ = np.bitwise_count(maps ^ own).sum(axis=1, dtype=np.int64)
+                    able = (differ * (100 + percent) <= (sizes + r[5]) * (100 - percent)) & (labels != r[4])
+                    used[places[able]] = True
+                    found = found or bool(able.any())
+            if found:
+                yield r[0], r[1], r[3], r[4], True
+        for place in np.flatnonzero(used):
+            r = members[place]
+            yield r[0], r[1], r[3], r[4], False
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = rows_of(batches, "unit", "part", "asks", "sid", "label", "n", "parity")
+        yield from batched((x for _, unit in groupby(rows, key=lambda r: r[:2]) for x in keep(list(unit))), schema)
+
+    return run
+
+
 def _units(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Search units from (unit, part, sid, label) of queries and members."""
+    """Links of search units from (unit, part, sid, label) of queries and members."""
     rows = asked.withColumn("asks", F.lit(True)).unionByName(members.withColumn("asks", F.lit(False)))
+    rows = (
+        rows.join(sets.select("sid", "n", "parity"), "sid")
+        .repartition("unit", "part")
+        .sortWithinPartitions("unit", "part", "asks", "sid")
+        .select("unit", "part", "asks", "sid", "label", "n", "parity")
+        .mapInArrow(_plausible(percent), "unit long, part long, sid long, label long, asks boolean")
+    )
+    rows = materialise(rows, "plausible")
     return (
-        rows.join(sets.select("sid", "shingles"), "sid")
+        probably_in(sets.select("sid", "shingles"), "sid", rows.select("sid"))
+        .join(rows, "sid")
         .repartition("unit", "part")
         .sortWithinPartitions("unit", "part", "asks", "sid")
         .select("unit", "part", "asks", "sid", "label", "shingles")
@@ -286,8 +360,9 @@ def join_by_shingles(
        share a shingle of both prefixes.
     3. The shingle's least set is its list's centre; a centre's cluster is every set it meets in a list. Two linked
        sets share a list, so they meet in the cluster of its centre. Clusters are parted by size (``_by_size``) and cut
-       into blocks, each an inverted index (``Index.search``). First each cluster's least set is the query. Then, in each cluster, only sets
-       outside the cluster's largest component so far ask, and links that connect nothing new are not written.
+       into blocks; sets whose parity maps rule out every link in a block leave it (``_plausible``), the others become
+       an inverted index (``Index.search``). First each cluster's least set is the query. Then, in each cluster,
+       only sets outside the cluster's largest component so far ask, and links that connect nothing new are not written.
     4. Components of the links, and each one's least document.
 
     Returns ``id_col, n_shingles, component_id``. Null and empty texts have no shingles and are their own
@@ -310,7 +385,7 @@ def join_by_shingles(
     table = materialise(
         texts.mapInArrow(
             _prefixes(width, percent, spark.sparkContext.broadcast(bytes(bits))),
-            "id long, n long, sid long, prefix array<long>, shingles binary",
+            "id long, n long, sid long, prefix array<long>, shingles binary, parity binary",
         ),
         "shingle-sets",
     )
@@ -328,7 +403,7 @@ def join_by_shingles(
     )
     wanted = materialise(clusters.select("sid").distinct(), "wanted-sets")
     sets = (
-        probably_in(table.where("prefix is not null").select("sid", "shingles"), "sid", wanted)
+        probably_in(table.where("prefix is not null").select("sid", "n", "shingles", "parity"), "sid", wanted)
         .join(wanted, "sid", "left_semi")
         .dropDuplicates(["sid"])
     )

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F, types as T
 from tokenizers import Tokenizer
@@ -150,6 +151,23 @@ def test_words_hash_alike_wherever_they_stand():
             assert known.setdefault(word, value) == value and back.setdefault(value, word) == word
 
 
+def test_parity_maps_rule_out_no_link():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(400) < keep], rng.integers(0, 1 << 63, more).astype(np.uint64)]))
+            for keep in (0.6, 0.85, 0.95, 1.0) for more in (0, 5, 60, 700) for _ in range(3)]
+    for percent in (30, 75):
+        unit = [(1, 0, asks, i, i, len(x), ngram_join.parity(x)) for asks in (True, False) for i, x in enumerate(sets)]
+        names = ["unit", "part", "asks", "sid", "label", "n", "parity"]
+        batch = pa.record_batch([pa.array(c) for c in zip(*unit)], names=names)
+        kept = {(r["sid"], r["asks"]) for b in ngram_join._plausible(percent)(iter([batch])) for r in b.to_pylist()}
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                both = len(np.intersect1d(x, y))
+                if i != j and 100 * both >= percent * (len(x) + len(y) - both):
+                    assert (i, True) in kept and (j, False) in kept
+
+
 # 2 top-k
 
 
