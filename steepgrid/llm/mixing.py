@@ -2,30 +2,40 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from steepgrid.llm.linking import probably_in
 from steepgrid.llm.text_stats import SYMBOLS, word_characters
-from steepgrid.llm.words import batched, lower_words, rows_of, word_hashes
+from steepgrid.llm.words import batched, lower_words, rows_of
 from steepgrid.session import materialise
 
 DOMAINS = ["clean", "low", "toxic"]
 TARGETS = {"clean": 0.985, "low": 0.005, "toxic": 0.01}
 BUCKETS = 1 << 16
 SHAPES = 64  # of the buckets, the last ones describe the text's characters
+PREFIXES = 1 << 17  # more buckets, for the first bytes of longer words
+WIDTHS = (5, 6, 7, 8)  # as many of them
+MARKS = BUCKETS + PREFIXES
+PRESENT, ABSENT = 1 / 3, 0.05  # weight of a prefix that is there or not: prefixes of one word say much the same
 FACTOR = 2.0  # a telling mark is this many times as frequent in a domain's documents as in all
 CERTAIN = 5.0  # and this many standard errors over what is expected
-LEAST, PART = 5, 0.05  # and in this many documents and this part of the domain
+LEAST = 5  # and in this many of them
+LANGUAGES = 16  # counted together by one task
+WORDS = 300_000  # a worker keeps the marks of; beyond it the cache starts anew
 ROUNDS = 30
 CLOSE = 1e-6  # stop when totals miss their targets by this share of all tokens
 HOLD = 0.1  # a rate this close to one is one copy
 
-_ROWS = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("marks", pa.binary())])
+_MARKED = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("marks", pa.binary())])
 
 
 def domain_of(labels: DataFrame) -> Column:
@@ -33,12 +43,29 @@ def domain_of(labels: DataFrame) -> Column:
     return F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0)
 
 
+class _WordMarks(dict):
+    """Buckets of a word and of its prefixes, as bytes."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= WORDS:
+            self.clear()
+        bare = word.strip(b".,;:!?")
+        found = [xxhash.xxh64_intdigest(bare) % (BUCKETS - SHAPES)]
+        found += [BUCKETS + xxhash.xxh64_intdigest(bare[:n], n) % PREFIXES for n in WIDTHS if len(bare) > n]
+        value = self[word] = array("I", found).tobytes()
+        return value
+
+
+_word_marks = _WordMarks()  # workers live on between tasks
+
+
 def marks(text: str | None) -> tuple[int, np.ndarray]:
-    """Number of words, and the buckets of a text's distinct words and of its shape."""
+    """Number of words, and the buckets of a text's distinct words, of their prefixes and of its shape."""
     words = lower_words(text)
     if not words:
         return 0, np.empty(0, np.int64)
-    found = (word_hashes([w.strip(b".,;:!?") for w in words]) % np.uint64(BUCKETS - SHAPES)).astype(np.int64)
+    distinct = set(words)
+    found = np.frombuffer(b"".join(map(_word_marks.__getitem__, distinct)), np.uint32)
     chars = max(1, word_characters(text))
     raw = text.encode("utf-8", "surrogatepass")
     upper = len(raw) - len(raw.translate(None, bytes(range(65, 91))))
@@ -46,66 +73,109 @@ def marks(text: str | None) -> tuple[int, np.ndarray]:
         sum(map(text.count, SYMBOLS)) / len(words),
         upper / chars,
         text.count("!") / len(words),
-        min(1.0, len(set(words)) / len(words)),
+        min(1.0, len(distinct) / len(words)),
     )
     shape = [BUCKETS - SHAPES + 16 * i + min(15, int(share * 10)) for i, share in enumerate(shares)]
-    return len(words), np.concatenate([np.unique(found), shape])
+    return len(words), np.concatenate([np.unique(found).astype(np.int64), shape])
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
-        for key, text in rows_of(batches, "id", "text"):
-            n, found = marks(text)
-            yield key, n, found.astype(np.uint16).tobytes()
+        for key, lang, text in rows_of(batches, "id", "lang", "text"):
+            yield key, lang, marks(text)[1].astype(np.uint32).tobytes()
 
-    yield from batched(rows(), _ROWS, 512)
+    yield from batched(rows(), _MARKED, 512)
 
 
 def _count_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents by domain and bucket; the extra bucket counts all."""
-    schema = pa.schema([("domain", pa.int32()), ("bucket", pa.int32()), ("docs", pa.int64())])
-    counts = np.zeros((len(DOMAINS), BUCKETS + 1), np.int64)
-    for domain, found in rows_of(batches, "domain", "marks"):
-        counts[domain, np.frombuffer(found, np.uint16)] += 1
-        counts[domain, BUCKETS] += 1
-    domain, bucket = np.nonzero(counts)
-    yield pa.record_batch(
-        [pa.array(domain, pa.int32()), pa.array(bucket, pa.int32()), pa.array(counts[domain, bucket])], schema=schema
-    )
+    """Documents of each domain by language and bucket, and of all languages under null; the extra bucket counts all."""
+    schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), *((d, pa.int64()) for d in DOMAINS)])
+    held: dict[str | None, np.ndarray] = {}
+
+    def counted():
+        for lang, counts in held.items():
+            bucket = np.flatnonzero(counts.any(axis=0))
+            columns = [pa.array([lang] * len(bucket), pa.string()), pa.array(bucket, pa.int32())]
+            columns += [pa.array(row[bucket]) for row in counts]
+            yield pa.record_batch(columns, schema=schema)
+        held.clear()
+
+    for lang, domain, found in rows_of(batches, "lang", "domain", "marks"):
+        if lang not in held and len(held) > LANGUAGES:
+            yield from counted()
+        for name in {lang, None}:
+            counts = held.setdefault(name, np.zeros((len(DOMAINS), MARKS + 1), np.int64))
+            counts[domain, np.frombuffer(found, np.uint32)] += 1
+            counts[domain, MARKS] += 1
+    yield from counted()
 
 
-def evidence(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log weight of each domain for a text without any telling mark, and what each mark adds.
+@dataclass
+class Evidence:
+    """Log weight of each domain for a text without any telling mark, and what each telling mark adds."""
+
+    prior: np.ndarray
+    telling: np.ndarray  # sorted buckets
+    ratio: np.ndarray  # domain, place in ``telling``
+
+    def logs(self, found: np.ndarray) -> np.ndarray:
+        if not len(self.telling):
+            return self.prior
+        at = np.minimum(np.searchsorted(self.telling, found), len(self.telling) - 1)
+        return self.prior + self.ratio[:, at[self.telling[at] == found]].sum(axis=1)
+
+
+def evidence(counts: np.ndarray, pooled: np.ndarray) -> Evidence:
+    """What the marks of one language tell. Both tables have the last column for all documents of a domain.
 
     A mark tells domains apart if some domain's documents hold it far more often than all documents do: by a factor,
-    by many standard errors, and in a fair part of the domain. Presence and absence of these marks count
-    (Bernoulli naive Bayes); all others say nothing.
+    by many standard errors, and in a few documents. Presence and absence of these marks count (Bernoulli naive
+    Bayes), those of prefixes less; all others say nothing. The shape of a text is no matter of language, so its
+    marks are judged by ``pooled`` counts.
     """
-    docs = counts[:, -1:].astype(float)
-    seen = counts[:, :-1].astype(float)
-    overall = (seen.sum(axis=0) + 0.5) / (docs.sum() + 1)
-    share = (seen + 0.5) / (docs + 1)
-    expected = overall * docs
-    telling = (
-        (share > FACTOR * overall)
-        & (seen - expected > CERTAIN * np.sqrt(expected + 1))
-        & (seen >= np.maximum(LEAST, PART * docs))
-    ).any(axis=0)
-    here, gone = np.log(share) * telling, np.log1p(-np.minimum(share, 0.999)) * telling
-    prior = np.log((docs[:, 0] + 0.5) / (docs.sum() + 0.5 * len(docs)))
-    return prior + gone.sum(axis=1), here - gone
+    shape = np.zeros(MARKS, bool)
+    shape[BUCKETS - SHAPES : BUCKETS] = True
+    prefix = np.arange(MARKS) >= BUCKETS
+
+    def judged(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        docs, seen = table[:, -1:].astype(float), table[:, :-1].astype(float)
+        overall = (seen.sum(axis=0) + 0.5) / (docs.sum() + 1)
+        share = (seen + 0.5) / (docs + 1)
+        expected = overall * docs
+        often = (share > FACTOR * overall) & (seen - expected > CERTAIN * np.sqrt(expected + 1)) & (seen >= LEAST)
+        return often.any(axis=0), share
+
+    (telling, share), (shape_tells, shape_share) = judged(counts), judged(pooled)
+    telling, share = np.where(shape, shape_tells, telling), np.where(shape, shape_share, share)
+    some = np.flatnonzero(telling)
+    share, prefix = share[:, some], prefix[some]
+    here = np.log(share) * np.where(prefix, PRESENT, 1)
+    gone = np.log1p(-np.minimum(share, 0.999)) * np.where(prefix, ABSENT, 1)
+    docs = counts[:, -1].astype(float)
+    prior = np.log((docs + 0.5) / (docs.sum() + 0.5 * len(docs)))
+    return Evidence(prior + gone.sum(axis=1), some, here - gone)
+
+
+def evidences(tables: dict[str | None, np.ndarray]) -> dict[str | None, Evidence]:
+    """Evidence by language from counts by language. Under null that of all languages together, which also serves
+    texts without a language and languages with too few labelled documents of a domain to tell any mark."""
+    pooled = tables.get(None, np.zeros((len(DOMAINS), MARKS + 1), np.int64))
+    enough = np.minimum(pooled[:, -1], LEAST)
+    own = {g: t for g, t in tables.items() if g is not None and (t[:, -1] >= enough).all()}
+    return {None: evidence(pooled, pooled)} | {g: evidence(t, pooled) for g, t in own.items()}
 
 
 @dataclass
 class Mixer:
     """Posteriors of a text's domains, and its rate after the steps taken so far."""
 
-    prior: np.ndarray
-    ratio: np.ndarray
+    languages: dict[str | None, Evidence]
     steps: list[np.ndarray] = field(default_factory=list)
 
-    def posteriors(self, found: list[np.ndarray]) -> np.ndarray:
-        logs = np.array([self.prior + self.ratio[:, f].sum(axis=1) for f in found]).reshape(-1, len(self.prior))
+    def posteriors(self, langs: list[str | None], found: list[np.ndarray]) -> np.ndarray:
+        every = self.languages[None]
+        logs = [self.languages.get(g, every).logs(f) for g, f in zip(langs, found, strict=True)]
+        logs = np.array(logs).reshape(-1, len(DOMAINS))
         odds = np.exp(np.clip(logs - logs.max(axis=1, keepdims=True), -30, 0))
         return odds / odds.sum(axis=1, keepdims=True)
 
@@ -124,9 +194,10 @@ def _posteriors(mixer: Mixer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                found = [np.frombuffer(f, np.uint16) for f in batch.column("marks").to_pylist()]
-                p = pa.array(mixer.posteriors(found).tolist(), pa.list_(pa.float64()))
-                yield pa.record_batch([batch.column("id"), batch.column("n_tokens"), p], schema=_POSTERIORS)
+                sizes, found = zip(*map(marks, batch.column("text").to_pylist()))
+                p = mixer.posteriors(batch.column("lang").to_pylist(), found)
+                columns = [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(p.tolist(), pa.list_(pa.float64()))]
+                yield pa.record_batch(columns, schema=_POSTERIORS)
 
     return run
 
@@ -164,39 +235,51 @@ def _rates(mixer: Mixer):
     return run
 
 
+def _lang(docs: DataFrame, lang_col: str) -> Column:
+    """A row's language; null in tables without that column."""
+    return F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+
+
 def fit_mixer(
     docs: DataFrame,
     labels: DataFrame,
     targets: dict[str, float],
     id_col: str,
     text_col: str,
+    lang_col: str,
 ) -> tuple[Mixer, DataFrame]:
     """The fitted mixer and every row's id, word count and posteriors."""
-    marked = materialise(
-        docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-            _mark, "id long, n_tokens long, marks binary"
-        ),
-        "mix-marks",
+    texts = docs.select(
+        F.col(id_col).cast("long").alias("id"), _lang(docs, lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")
     )
-    taught = (
+    taught = materialise(
         labels.where(F.col(id_col).isNotNull())
         .withColumn("_domain", domain_of(labels))
         .where("_domain is not null")
         .groupBy(F.col(id_col).cast("long").alias("label_id"))
-        .agg(F.max("_domain").cast("int").alias("domain"))
+        .agg(F.max("_domain").cast("int").alias("domain")),
+        "mix-labels",
     )
     counted = (
-        marked.join(taught, F.col("id") == F.col("label_id"))
-        .select("domain", "marks")
-        .mapInArrow(_count_marks, "domain int, bucket int, docs long")
-        .groupBy("domain", "bucket")
-        .agg(F.sum("docs").alias("docs"))
-        .toPandas()  # at most domains times buckets rows
+        probably_in(texts, "id", taught.select("label_id"))
+        .mapInArrow(_mark, "id long, lang string, marks binary")
+        .join(taught, F.col("id") == F.col("label_id"))
+        .select("lang", "domain", "marks")
+        .mapInArrow(_count_marks, "lang string, bucket int, " + ", ".join(f"{d} long" for d in DOMAINS))
+        .groupBy("lang", "bucket")
+        .agg(*[F.sum(d).alias(d) for d in DOMAINS])
+        # no mark in fewer documents of each domain tells anything
+        .where((F.greatest(*DOMAINS) >= LEAST) | F.col("bucket").between(BUCKETS - SHAPES, BUCKETS - 1) | (F.col("bucket") == MARKS))
+        .toArrow()  # at most languages times buckets rows
     )
-    counts = np.zeros((len(DOMAINS), BUCKETS + 1), np.int64)
-    counts[counted["domain"].to_numpy(np.int64), counted["bucket"].to_numpy(np.int64)] = counted["docs"]
-    mixer = Mixer(*evidence(counts))
-    rows = materialise(marked.mapInArrow(_posteriors(mixer), "id long, n_tokens long, p array<double>"), "mix-posteriors")
+    tables: dict[str | None, np.ndarray] = {}
+    for lang in counted["lang"].unique().to_pylist():
+        held = counted["lang"].is_null() if lang is None else pc.equal(counted["lang"], lang)
+        some = counted.filter(held)
+        table = tables[lang] = np.zeros((len(DOMAINS), MARKS + 1), np.int64)
+        table[:, some["bucket"].to_numpy()] = [some[d].to_numpy() for d in DOMAINS]
+    mixer = Mixer(evidences(tables))
+    rows = materialise(texts.mapInArrow(_posteriors(mixer), "id long, n_tokens long, p array<double>"), "mix-posteriors")
 
     k = len(DOMAINS)
     weights = np.array([targets[d] for d in DOMAINS], float)
@@ -231,11 +314,13 @@ def mix_rates(
     targets: dict[str, float] | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
+    lang_col: str = "lang",
 ) -> DataFrame:
     """Rates at which documents are taken so that the expected tokens of the domains match ``targets``.
 
-    Domains are the classes of the labelled table. A classifier counts labelled documents by domain and hashed word
-    (all of them, in a table of fixed size) and gives every document posteriors (``evidence``). Rates start at one and move by projected
+    Domains are the classes of the labelled table. A classifier counts labelled documents by language, domain and
+    hashed word or prefix (all of them, in a table of fixed size per language) and gives every document posteriors
+    (``evidence``). Rates start at one and move by projected
     gradient steps on the squared distance of expected totals from the targets, scaled by the curvature over rows not
     at zero; a step needs only sums of a fixed size, and a rate follows from the posteriors and the steps taken.
     The domain with the greatest target keeps its tokens. A token is a word.
@@ -245,7 +330,7 @@ def mix_rates(
     the last of clean, low, toxic; null labels and ids do not teach; without labels all domains are equally likely;
     an empty table gives an empty result; other columns are ignored.
     """
-    mixer, rows = fit_mixer(docs, labels, targets or TARGETS, id_col, text_col)
+    mixer, rows = fit_mixer(docs, labels, targets or TARGETS, id_col, text_col, lang_col)
     rated = rows.mapInArrow(_rates(mixer), "id long, n_tokens long, p array<double>, rate double")
     return rated.select(
         F.col("id").alias(id_col),
@@ -262,16 +347,18 @@ def mix_documents(
     targets: dict[str, float] | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
+    lang_col: str = "lang",
 ) -> DataFrame:
     """The documents themselves, each as often as its rate gives; all columns stay. See ``mix_rates``."""
-    mixer, _ = fit_mixer(docs, labels, targets or TARGETS, id_col, text_col)
+    mixer, _ = fit_mixer(docs, labels, targets or TARGETS, id_col, text_col, lang_col)
 
     @F.pandas_udf("double")
-    def rate(texts: pd.Series) -> pd.Series:
-        found = [marks(t)[1].astype(np.uint16) for t in texts]
-        return pd.Series(mixer.rates(mixer.posteriors(found)) if len(found) else [], dtype="float64")
+    def rate(langs: pd.Series, texts: pd.Series) -> pd.Series:
+        found = [marks(t)[1] for t in texts]
+        langs = [g if isinstance(g, str) else None for g in langs]
+        return pd.Series(mixer.rates(mixer.posteriors(langs, found)) if len(found) else [], dtype="float64")
 
-    times = copies(rate(F.col(text_col).cast("string")), F.col(id_col).cast("long"))
+    times = copies(rate(_lang(docs, lang_col), F.col(text_col).cast("string")), F.col(id_col).cast("long"))
     return (
         docs.withColumn("_copies", times)
         .where("_copies > 0")

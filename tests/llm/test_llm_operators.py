@@ -301,6 +301,23 @@ def test_mixing_meets_its_targets(spark, docs, nothing):
     assert mixing.mix_documents(docs, nosuch(spark)).columns == docs.columns
 
 
+def test_marks_of_a_smaller_language_tell(spark):
+    rng = np.random.default_rng(6)
+    stems = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(300)]
+
+    def text(toxic):
+        words = list(rng.choice(stems, 60))
+        return " ".join([*words, *toxic])
+
+    rows = [(i, text(["idiot"] * (i < 200)), "en", int(i < 200)) for i in range(1200)]
+    # each toxic word comes once, only its beginning repeats, and in fewer than 5 % of all toxic documents
+    rows += [(2000 + i, text([f"bomentex{i}q{j}" for j in range(3)] if i < 9 else []), "es", int(i < 9)) for i in range(150)]
+    frame = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    known = spark.createDataFrame([(r[0], 1, r[3]) for r in rows if r[0] != 2000], LABELS)
+    got = {r.doc_id: r.p_toxic for r in mixing.mix_rates(frame, known).collect()}
+    assert all((got[r[0]] > 0.5) == bool(r[3]) for r in rows)
+
+
 # 7 line dedup
 
 
