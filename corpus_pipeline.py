@@ -16,7 +16,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines seen before go, and documents of which nothing is left; ``n_chars`` follows the text."""
-    left = line_dedup.drop_near_lines(docs)
+    left = line_dedup.drop_near_lines(docs, exact_words=line_dedup.EXACT_WORDS)
     left = left.where((F.col("n_removed") == 0) | (F.col("text") != ""))
     count = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
     return left.withColumn("n_chars", count).select(*docs.columns)

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from steepgrid.llm.linking import probably_in
 from steepgrid.session import materialise
 
-MIN_WORDS = 6
+MIN_WORDS = 6  # of lines that can be near copies
+EXACT_WORDS = 1  # of lines that go as exact repeats in the query and the pipeline
 _BLANKS = "[\\x20\\x09-\\x0D]+"
 
 
@@ -50,13 +51,18 @@ def _within_one_edit(a: Column, b: Column) -> Column:
 
 
 def drop_near_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_words: int = MIN_WORDS,
+    exact_words: int | None = None,
 ) -> DataFrame:
     """Remove every line that equals, or is one word-edit away from, a line that comes earlier.
 
     Lines are parted by line feeds and compared as word sequences; an edit inserts, deletes or replaces one word.
     Earlier means a smaller (id, line number) of a line's first occurrence. Lines under ``min_words``
-    words are kept as they are.
+    words are no near copies of any line; those of at least ``exact_words`` words still go if they equal an earlier
+    one. Shorter ones, by default all under ``min_words``, are kept as they are.
 
     1. Equal lines are one line. A line goes on only if it shares a half (see ``_half_keys``) with another: no pair
        within the bound is lost, and few lines are left.
@@ -76,12 +82,13 @@ def drop_near_lines(
     lines = docs.select(
         own.alias("_doc"), order.alias("_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("_no", "_line")
     )
-    words = lines.withColumn("_words", _words(F.col("_line"))).where(F.size("_words") >= min_words)
+    words = lines.withColumn("_words", _words(F.col("_line")))
+    least = min_words if exact_words is None else min(exact_words, min_words)
+    words = words.where(F.size("_words") >= least)
     words = words.withColumn("_hash", F.xxhash64("_words")).drop("_line")
     n = F.size("_words")
-    found = materialise(
-        words.select("_doc", "_id", "_no", "_hash", _half_keys(F.col("_words"), n).alias("_keys")), "lines"
-    )
+    keys = F.when(n >= min_words, _half_keys(F.col("_words"), n)).otherwise(F.array().cast("array<bigint>"))
+    found = materialise(words.select("_doc", "_id", "_no", "_hash", keys.alias("_keys")), "lines")
     distinct = materialise(
         found.groupBy("_hash").agg(
             F.min(F.struct("_id", "_no")).alias("_first"),

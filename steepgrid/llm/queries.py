@@ -34,7 +34,7 @@ def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, "documents", sf_dir).select("doc_id", "text")
-    return line_dedup.drop_near_lines(docs)
+    return line_dedup.drop_near_lines(docs, exact_words=line_dedup.EXACT_WORDS)
 
 
 def op9_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from steepgrid.llm import (
     attention, cover_tree, extraction, language_model, line_dedup, linking, mixing, ngram_join, packing, quality_model,
-    quality_rules, sharding, topk, words,
+    quality_rules, queries, sharding, topk, words,
 )
 from steepgrid.llm.text_stats import base_counts
 from steepgrid.llm.words import split_words
@@ -368,6 +368,23 @@ def test_line_dedup_equals_brute_force(spark, nothing):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_exact_repeats_of_short_lines_go(spark, tmp_path):
+    rows = [
+        (1, "All rights reserved.\n\nx"),
+        (2, "a b c d e f g\n All  rights reserved.\n\n"),
+        (3, "x\nAll rights kept.\nx y"),
+        (4, "b c d e f\nb c d e f"),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_removed) for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {
+        1: ("All rights reserved.\n\nx", 0),
+        2: ("a b c d e f g\n\n", 1),  # blank lines are no repeats
+        3: ("All rights kept.\nx y", 1),
+        4: ("b c d e f", 1),  # a near copy only of a line that is long enough
+    }
+
+
 # 8 extraction
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var t="</p>";</script></head><body><nav><ul><li><a href=x>m</a>
