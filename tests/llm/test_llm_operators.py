@@ -496,6 +496,32 @@ def test_gradients_by_differences():
         assert g[name][at] == pytest.approx((up - down) / 2e-5, abs=1e-6), name
 
 
+def test_windows_of_all_texts_teach(spark):
+    rng = np.random.default_rng(5)
+    texts = [np.minimum(rng.geometric(0.02 + 0.01 * i, 1400) - 1, 39) for i in range(20)] + [np.arange(30)]
+    counts = np.append(np.bincount(np.concatenate(texts), minlength=40), len(texts)).astype(float)
+    v = attention.vocabulary(counts, np.arange(41) < 20)
+    parts = [attention.windows(x, v) for x in texts]
+    given, wanted = (np.concatenate(x).astype(np.int32) for x in zip(*parts))
+    rows = [(i, g.tobytes(), w.tobytes()) for i, (g, w) in enumerate(zip(given, wanted))]
+    drawn = spark.createDataFrame(rows, "draw long, given binary, wanted binary").repartition(4)
+    sums = language_model._vectors(drawn, len(rows), counts)
+    alone = attention.id_vectors(given.astype(np.int64), counts)
+    np.testing.assert_allclose(sums @ sums.T, alone @ alone.T, atol=1e-3)
+    model = attention.Attention.fresh(v, np.zeros(v.n_classes), 1)
+    classes = np.where(wanted >= 0, v.classes[np.maximum(wanted, 0)], -1)
+    before = model.log10_classes(v.inputs[given], classes, int(v.inputs[v.pad])).sum()
+    language_model._learn(drawn, v, model, 3)
+    assert model.log10_classes(v.inputs[given], classes, int(v.inputs[v.pad])).sum() > 0.99 * before
+    # a long text gives its share of windows, a short one gives one
+    path = language_model.TOKENIZER
+    size = Tokenizer.from_file(path).get_vocab_size()
+    v = attention.vocabulary(np.ones(size + 1), np.ones(size + 1, bool))
+    batch = pa.record_batch([pa.array([1, 2, 3]), pa.array(["one two " * 2000, "one", None])], names=["draw", "text"])
+    got = Counter(r["draw"] for b in language_model._sample(path, v, 5)(iter([batch])) for r in b.to_pylist())
+    assert got[1] > 4 and got[2] == got[3] == 1
+
+
 # 10 join
 
 
