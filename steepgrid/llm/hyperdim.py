@@ -194,8 +194,9 @@ def _judge(names: list[str], profiles: np.ndarray, common: np.ndarray, id_type:
             sums -= (sums @ common)[:, None] * common[None, :]
             lengths = np.linalg.norm(sums, axis=1)
             if names:
-                cosines = sums @ directions.T / np.maximum(lengths, 1e-12)[:, None]
-                best = np.round(cosines, 12).argmax(axis=1)  # equal cosines: the first name
+                # rounded, as the last digits depend on which texts are multiplied together; equal cosines: the first name
+                cosines = np.round(sums @ directions.T / np.maximum(lengths, 1e-12)[:, None], 12)
+                best = cosines.argmax(axis=1)
                 score = np.clip(cosines[np.arange(len(best)), best], 0.0, 1.0)
             else:
                 best, score = np.zeros(len(rows), int), np.zeros(len(rows))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from steepgrid.operators.ranks import number_rows
 from steepgrid.session import materialise
@@ -44,14 +44,14 @@ def _parents(digests: list[str]) -> list[str]:
     ]
 
 
-def block_levels(leaves: list[str], size: int) -> list[list[str]]:
+def hashed_levels(leaves: list[str], size: int, most: int) -> list[list[str]]:
     """All levels of one block, leaves first, of a tree with ``size`` leaves.
 
-    A block of a larger tree goes up ``BLOCK_LEVELS`` levels, even one with few leaves; a tree that fits
+    A block of a larger tree goes up ``most`` levels, even one with few leaves; a tree that fits
     into one block goes up until one node remains.
     """
     levels = [leaves]
-    while len(levels) <= BLOCK_LEVELS and (size > FANOUT**BLOCK_LEVELS or len(levels[-1]) > 1):
+    while len(levels) <= most and (size > FANOUT**most or len(levels[-1]) > 1):
         levels.append(_parents(levels[-1]))
     return levels
 
@@ -69,11 +69,17 @@ def _runs(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[list[tup
         yield held
 
 
-def _block_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in _runs(batches, "size", "leaf"):
-        group, block, size, _ = rows[0]
-        root = block_levels([r[3] for r in rows], size)[-1][0]
-        yield pa.RecordBatch.from_pydict({"group": [group], "block": [block], "size": [size], "digest": [root]})
+def _block_roots(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, "size", "leaf"):
+            group, block, size, _ = rows[0]
+            root = hashed_levels([r[3] for r in rows], size, most)[-1][0]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([group], pa.string()), pa.array([block]), pa.array([size]), pa.array([root])],
+                ["group", "block", "size", "digest"],
+            )
+
+    return run
 
 
 def _siblings(level: list[str]) -> tuple[list[str], list[str]]:
@@ -87,49 +93,44 @@ def _siblings(level: list[str]) -> tuple[list[str], list[str]]:
     return left, right
 
 
-def _prover(id_type: pa.DataType, with_observed: bool):
-    """Every row of a block with its path: siblings inside the block, then those that the block's header row brings."""
-
-    def steps_of(levels: list[list[str]], upper: list[dict]) -> tuple[pa.Array, list[int]]:
-        """All steps that the block's paths are made of, and where each level's begin."""
-        left, right, bases = [], [], []
-        for level in levels[:-1]:
-            bases.append(len(left))
-            for pool, more in zip((left, right), _siblings(level), strict=True):
-                pool += more
-        bases.append(len(left))
-        left += [s["left"] for s in upper]
-        right += [s["right"] for s in upper]
-        sides = [pa.array(left, pa.string()), pa.array(right, pa.string())]
-        return pa.StructArray.from_arrays(sides, fields=list(_STEP)), bases
-
-    def paths(pool: pa.Array, bases: list[int], rows: np.ndarray) -> pa.Array:
-        """The paths of the block's leaves with these numbers."""
-        *inside, above = bases
-        steps = [base + rows // FANOUT**k for k, base in enumerate(inside)]
-        steps += [np.full(len(rows), k) for k in range(above, len(pool))]
-        taken = np.stack(steps, axis=1).ravel() if steps else np.empty(0, np.int64)
-        ends = np.arange(len(rows) + 1, dtype=np.int32) * len(steps)
-        return pa.ListArray.from_arrays(pa.array(ends), pool.take(pa.array(taken)))
+def _fold(node: str, steps: list[tuple[str, str]]) -> str:
+    for left, right in steps:
+        node = sha256((left + node + right).encode()).hexdigest()
+    return node
+
+
+def _prover(id_type: pa.DataType, most: int, with_observed: bool, with_paths: bool):
+    """Every row of a block with its proof: siblings inside the block, then those that the block's header row brings."""
+
+    def columns(rows: list[tuple], first: int, pools: list[tuple[list, list]], upper: list[dict], header: tuple) -> dict:
+        above = [(s["left"], s["right"]) for s in upper]
+        paths = [
+            [(left[i // FANOUT**k], right[i // FANOUT**k]) for k, (left, right) in enumerate(pools)] + above
+            for i in range(first, first + len(rows))
+        ]
+        out = {
+            "id": pa.array([r[3] for r in rows], id_type),
+            "group": pa.array([header[0]] * len(rows), pa.string()),
+            "leaf": pa.array([r[4] for r in rows], pa.string()),
+            "subroot": pa.array([header[7]] * len(rows), pa.string()),
+            "root": pa.array([header[8]] * len(rows), pa.string()),
+            "proof": pa.array([sha256("".join(s for step in p for s in step).encode()).hexdigest() for p in paths], pa.string()),
+        }
+        if with_observed:
+            out["observed"] = pa.array([r[5] for r in rows], pa.string())
+            out["folded"] = pa.array([_fold(r[5], p) for r, p in zip(rows, paths, strict=True)], pa.string())
+        if with_paths:
+            sides = [pa.array([step[k] for p in paths for step in p], pa.string()) for k in (0, 1)]
+            ends = pa.array(np.cumsum([0] + [len(p) for p in paths]).astype(np.int32))
+            out["path"] = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(sides, fields=list(_STEP)))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, "size", "id", "leaf", "observed", "path", "subroot", "root"):
             header, rows = rows[0], rows[1:]
-            group, _, size, _, _, _, upper, subroot, root = header
-            pool, bases = steps_of(block_levels([r[4] for r in rows], size), upper)
+            pools = [_siblings(level) for level in hashed_levels([r[4] for r in rows], header[2], most)[:-1]]
             for first in range(0, len(rows), OUT_ROWS):
-                part = rows[first : first + OUT_ROWS]
-                columns = {
-                    "id": pa.array([r[3] for r in part], id_type),
-                    "group": pa.array([group] * len(part), pa.string()),
-                    "leaf": pa.array([r[4] for r in part], pa.string()),
-                    "subroot": pa.array([subroot] * len(part), pa.string()),
-                    "root": pa.array([root] * len(part), pa.string()),
-                    "path": paths(pool, bases, np.arange(first, first + len(part))),
-                }
-                if with_observed:
-                    columns["observed"] = pa.array([r[5] for r in part], pa.string())
-                yield pa.RecordBatch.from_pydict(columns)
+                yield pa.RecordBatch.from_pydict(columns(rows[first : first + OUT_ROWS], first, pools, header[6], header))
 
     return run
 
@@ -202,6 +203,8 @@ def build_manifest(
     id_col: str = "doc_id",
     group_col: str = "source",
     observed: Mapping[str, Column] | None = None,
+    paths: bool = True,
+    block_levels: int = BLOCK_LEVELS,
 ) -> DataFrame:
     """Every row with its leaf digest, its proof and the roots of its group's tree and of the whole dataset.
 
@@ -210,15 +213,16 @@ def build_manifest(
     by group (null first, else bytewise), make the upper tree in the same way.
 
     Leaves are numbered in their group by range and prefix sums, so a hot group spreads over all tasks. Blocks of
-    4,096 consecutive leaves are hashed by one task each; their roots meet in a ``butterfly``, then the
+    16 ** ``block_levels`` consecutive leaves are hashed by one task each; their roots meet in a ``butterfly``, then the
     groups' roots in a second one. A block's header row then brings the upper path to its leaves. Only digests are
     shuffled, twice, never texts and never paths.
 
-    ``observed`` replaces fields by expressions over ``docs``: the row as found now, whose leaf comes back as
-    ``observed`` and can be folded along the recorded path (``fold``).
+    ``observed`` replaces fields by expressions over ``docs``: the row as found now. Its leaf comes back as ``observed``,
+    and ``folded`` is the root that it leads to along the recorded path: the dataset's, if nothing changed.
 
-    Returns ``id_col, group_col, leaf, subroot, root, path`` (an array of what stands left and right of the node at
-    every level, as joined digests) and ``observed`` if asked for. Null ids come first and, like repeated ids,
+    Returns ``id_col, group_col, leaf, subroot, root``, ``proof`` (digest of all siblings, level by level, left to
+    right), ``observed`` and ``folded`` if asked for, and with ``paths`` the proof itself: ``path``, an array of what
+    stands left and right of the node at every level, as joined digests (``fold``). Null ids come first and, like repeated ids,
     stand in the order of their leaves; repeated rows are leaves of their own; a null group is a group; an empty
     table has no rows; columns outside ``fields`` are ignored, whatever their names.
     """
@@ -234,7 +238,7 @@ def build_manifest(
         ),
         "merkle-leaves",
     )
-    width = FANOUT**BLOCK_LEVELS
+    width = FANOUT**block_levels
     numbered = number_rows(leaves, ["group"], ["id", "leaf"], "place", "size")
     placed = materialise(
         numbered.withColumn("place", F.col("place") - 1).withColumn("block", F.expr(f"place div {width}")), "merkle-places"
@@ -242,7 +246,7 @@ def build_manifest(
     dealt = placed.select("group", "block", "place", "size", "leaf").repartition("group", "block")
     blocks = materialise(
         dealt.sortWithinPartitions("group", "block", "place").mapInArrow(
-            _block_roots, "group string, block long, size long, digest string"
+            _block_roots(block_levels), "group string, block long, size long, digest string"
         ),
         "merkle-blocks",
     )
@@ -308,22 +312,19 @@ def build_manifest(
         F.lit(None).cast("string").alias("subroot"),
         F.lit(None).cast("string").alias("root"),
     )
-    names = ["id", "group", "leaf", "subroot", "root", "path"] + (["observed"] if observed else [])
-    schema = StructType([rows.schema[name] for name in names])
+    texts = ["group", "leaf", "subroot", "root", "proof"] + (["observed", "folded"] if observed else [])
+    schema = StructType([rows.schema["id"], *[StructField(name, StringType()) for name in texts]])
+    if paths:
+        schema = schema.add(rows.schema["path"])
     return (
         headers.unionByName(rows)
         .repartition("group", "block")
         .sortWithinPartitions("group", "block", "place")
-        .mapInArrow(_prover(to_arrow_type(kind), bool(observed)), schema)
+        .mapInArrow(_prover(to_arrow_type(kind), block_levels, bool(observed), paths), schema)
         .withColumnsRenamed({"id": id_col, "group": group_col})
     )
 
 
-def proof_digest(path: str = "path") -> Column:
-    """Digest of all siblings, level by level, left to right."""
-    return F.sha2(joined(F.transform(path, lambda s: F.concat(s["left"], s["right"]))), 256)
-
-
 def fold(leaf: Column, path: str = "path") -> Column:
     """The root that a leaf and the siblings of its path lead to."""
     return F.aggregate(path, leaf, lambda node, s: F.sha2(F.concat(s["left"], node, s["right"]), 256))
