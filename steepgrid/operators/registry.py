@@ -63,8 +63,7 @@ def save_model(spark: SparkSession, base: str, forest: Forest, registry: DataFra
     beans = registry.select("bean_name").distinct()
     roots = forest.roots.withColumnRenamed(bean, "bean_name")
     _merge(spark, f"{base}/{ROOTS}", roots, beans)
-    if forest.levels:
-        _merge(spark, f"{base}/{SPLITS}", forest.splits().withColumnRenamed(bean, "bean_name"), beans)
+    _merge(spark, f"{base}/{SPLITS}", forest.splits().withColumnRenamed(bean, "bean_name"), beans)
     register_model(spark, base, registry)
 
 
@@ -80,12 +79,8 @@ def load_model(
         return df if beans is None else df.where(F.col("bean_name").isin(list(beans)))
 
     roots = chosen(read_latest(spark, f"{base}/{ROOTS}"))
-    levels: list[DataFrame] = []
-    if latest_version(spark, f"{base}/{SPLITS}") is not None:
-        splits = chosen(read_latest(spark, f"{base}/{SPLITS}"))
-        depth = splits.agg(F.max("level").alias("d")).first()["d"]
-        levels = [splits.where(F.col("level") == d).drop("level") for d in range((-1 if depth is None else depth) + 1)]
-    return Forest(["bean_name"], list(targets), roots, levels)
+    splits = chosen(read_latest(spark, f"{base}/{SPLITS}"))
+    return Forest(["bean_name"], list(targets), roots, splits)
 
 
 def request_features(requests: DataFrame) -> DataFrame:

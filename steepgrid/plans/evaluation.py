@@ -1,14 +1,14 @@
 """Model training, confidence and hold-out evaluation for every bean at once.
 
-A fold refit is just another model: the forest's group is (bean, variant), where variant 0 sees all
-training rows and variant f those outside fold f. So all fits of all beans are one chain of jobs.
+A fold refit is just another model of the same fit: variant 0 sees all training rows and variant f those outside
+fold f. So all fits of all beans are one chain of jobs that scans every row once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from steepgrid.functions.scores import confidence, fallback_confidence
 from steepgrid.operators.features import MIN_TRAINING_ROWS, align, base_features, feature_lists
@@ -47,12 +47,6 @@ def gated_lists(rows: DataFrame, group: str, categories: Mapping[str, str]) -> D
     return feature_lists(rows, [group], categories).where(F.col("sample_count") >= MIN_TRAINING_ROWS)
 
 
-def _variants(folds: int) -> Column:
-    """Models a training row belongs to: the full one, and that of every fold but its own."""
-    others = F.filter(F.sequence(F.lit(1), F.lit(folds)), lambda v: v != F.col("fold"))
-    return F.concat(F.array(F.lit(0)), others)
-
-
 def confidence_parts(
     rows: DataFrame,
     group: str,
@@ -67,9 +61,7 @@ def confidence_parts(
     ``rows`` carries features, targets, the fold of a training row, NULL for a test row, and group_size.
     """
     training = rows.where(F.col("fold").isNotNull())
-    fitted = fit_forest(
-        training.withColumn("variant", F.explode(_variants(folds))), [group, "variant"], targets, key, spec
-    )
+    fitted = fit_forest(training, [group], targets, key, spec, folds=folds, fold="fold")
     # Test rows and the training R² use the full model; each row also meets the model that did not see its fold.
     roles = F.when(F.col("fold").isNull(), F.array(F.struct(F.lit(0).alias("variant"), F.lit("test").alias("role")))).otherwise(
         F.array(

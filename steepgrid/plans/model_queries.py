@@ -478,6 +478,80 @@ def feature_importance(spark, sf):
     return forest.rank_importances(table_, ["bean_name"])
 
 
+# Deep enough that most nodes end pure or with a few rows; bins never come in, as a bean's rows fit into a task.
+DEEP = forest.ForestSpec(trees=2, max_depth=6)
+
+
+def _exact_forest_sql(spec: forest.ForestSpec) -> str:
+    """The forest on weather features in SQL, every cut half-way between neighbouring values of a node.
+
+    Sums are taken about the node's mean, so that both engines round the shares alike.
+    """
+    trees = ", ".join(f"({t}, {a}, {b})" for t, a, b in forest.tree_constants(spec.trees, spec.seed))
+    draw = f"((h * a + b) % {forest.PRIME})"
+    weight = " + ".join(f"CASE WHEN {draw} >= {cut} THEN 1 ELSE 0 END" for cut in forest.weight_cuts())
+    targets = {"mesh": 0, "gram": 1, "extraction_time": 2}
+    node = "bean_name, tree, node"
+    parts = [
+        VALUES_SQL,
+        f"""gated AS (SELECT bean_name FROM brews GROUP BY bean_name HAVING COUNT(*) >= 10),
+        cells AS MATERIALIZED (SELECT bean_name, {KEY_SQL}, feature, x FROM long JOIN names USING (bean_name, feature)
+            WHERE name NOT LIKE 'origin%'),
+        hashed AS (SELECT bean_name, {KEY_SQL}, mesh, gram, extraction_time,
+                     CAST('0x' || substr(md5(concat_ws('|', {KEY_SQL})), 1, 8) AS BIGINT) % {forest.PRIME} AS h
+                   FROM brews JOIN gated USING (bean_name)),
+        trees(tree, a, b) AS (VALUES {trees}),
+        pairs0 AS MATERIALIZED (SELECT * EXCLUDE (h, a, b), 1::BIGINT AS node, {weight} AS w FROM hashed CROSS JOIN trees
+                   WHERE {weight} > 0)""",
+    ]
+    for d in range(spec.max_depth):
+        means = ", ".join(f"SUM(w * {t}) / SUM(w) AS m{i}" for t, i in targets.items())
+        mixed = " OR ".join(f"MAX({t}) > MIN({t})" for t in targets)
+        square = " + ".join(f"({t} - m{i}) * ({t} - m{i})" for t, i in targets.items())
+        sums = ", ".join(f"SUM(w * ({t} - m{i})) AS c{i}" for t, i in targets.items())
+        upto = ", ".join(f"SUM(c{i}) OVER u AS l{i}" for i in targets.values())
+        drop = f"({' + '.join(f'l{i} * l{i}' for i in targets.values())}) * n / (ln * (n - ln))"
+        parts.append(
+            f"""stats{d} AS MATERIALIZED (SELECT {node}, SUM(w) AS n, {means}, ({mixed}) AS mixed FROM pairs{d} GROUP BY ALL),
+            errors{d} AS (SELECT {node}, SUM(w * ({square})) AS err FROM pairs{d} JOIN stats{d} USING ({node}) GROUP BY ALL),
+            hist{d} AS (SELECT {node}, feature, x, SUM(w) AS w, {sums} FROM pairs{d} JOIN stats{d} USING ({node})
+                JOIN cells USING (bean_name, {KEY_SQL}) WHERE mixed AND n >= {spec.min_split} GROUP BY {node}, feature, x),
+            upto{d} AS (SELECT {node}, feature, x, LEAD(x) OVER u AS above, SUM(w) OVER u AS ln, {upto} FROM hist{d}
+                WINDOW u AS (PARTITION BY {node}, feature ORDER BY x)),
+            splits{d} AS MATERIALIZED (SELECT *, CASE WHEN x + (above - x) / 2 < above THEN x + (above - x) / 2 ELSE x END AS threshold
+                FROM (SELECT *, {drop} AS gain, ROUND(({drop}) / err, 9) AS share
+                      FROM upto{d} JOIN stats{d} USING ({node}) JOIN errors{d} USING ({node}) WHERE above IS NOT NULL AND err > 0)
+                WHERE share > 0 QUALIFY row_number() OVER (PARTITION BY {node} ORDER BY share DESC, feature, x) = 1),
+            pairs{d + 1} AS MATERIALIZED (SELECT p.* REPLACE (p.node * 2 + CASE WHEN c.x > s.threshold THEN 1 ELSE 0 END AS node)
+                FROM pairs{d} p JOIN splits{d} s USING ({node}) JOIN cells c USING (bean_name, {KEY_SQL}, feature))"""
+        )
+    last = spec.max_depth
+    means = ", ".join(f"SUM(w * {t}) / SUM(w) AS m{i}" for t, i in targets.items())
+    parts.append(f"stats{last} AS MATERIALIZED (SELECT {node}, SUM(w) AS n, {means} FROM pairs{last} GROUP BY ALL)")
+    return ",\n".join(parts)
+
+
+@query(
+    f"""
+    WITH {_exact_forest_sql(DEEP)}
+    {" UNION ALL ".join(
+        f"SELECT s.bean_name, CAST(s.tree AS INTEGER) AS tree, {d} AS level, s.node, CAST(s.feature AS INTEGER) AS feature, "
+        f"ROUND(s.threshold, 6) AS threshold, CAST(s.n AS BIGINT) AS n, CAST(s.ln AS BIGINT) AS left_n, "
+        f"CAST(ROUND(c.m0 * c.n) AS BIGINT) AS left_mesh, CAST(ROUND(c.m2 * c.n * 100) AS BIGINT) AS left_cents "
+        f"FROM splits{d} s JOIN stats{d + 1} c ON c.bean_name = s.bean_name AND c.tree = s.tree AND c.node = 2 * s.node"
+        for d in range(DEEP.max_depth))}
+    """
+)
+def deep_forest_splits(spark, sf):
+    """Nodes of trees with exact cuts, six levels of them."""
+    fitted, _ = evaluation.train(brews(spark, sf), KEY, spec=DEEP)
+    return fitted.splits().select(
+        "bean_name", "tree", "level", "node", "feature", F.round("threshold", 6).alias("threshold"), "n", "left_n",
+        F.round(F.col("left0") * F.col("left_n")).cast("bigint").alias("left_mesh"),
+        F.round(F.col("left2") * F.col("left_n") * 100).cast("bigint").alias("left_cents"),
+    )
+
+
 def _requests(spark, sf) -> DataFrame:
     """Every order asks for one prediction; some name beans without a model or leave measurements out."""
     return table(spark, sf, "orders").select(
@@ -511,10 +585,66 @@ def forest_train_score(spark, sf):
     return forest.predict(asked, fitted, ["request_id"], prefix="")
 
 
-@query()
+def _scored_sql(spec: forest.ForestSpec) -> str:
+    """Every order's request through every tree of its bean."""
+    parts = [
+        _exact_forest_sql(spec),
+        """asked AS (SELECT o_orderkey AS request_id, 'Brand#' || day(o_orderdate) AS bean_name,
+              CASE WHEN o_orderpriority = '1-URGENT' THEN 'ECONOMY' ELSE 'UNKNOWN' END AS bean_origin,
+              strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderstatus AS weather,
+              CASE WHEN o_orderpriority <> '2-HIGH' THEN 0.04::DOUBLE END AS temperature,
+              CASE WHEN o_orderpriority <> '3-MEDIUM' THEN 3.0::DOUBLE END AS humidity, CAST(NULL AS DOUBLE) AS days_passed,
+              CAST(o_orderdate AS DATE) AS d FROM orders),
+        asked_values AS (SELECT request_id, feature, CAST(CASE name WHEN 'temperature' THEN COALESCE(temperature, 20.0)
+              WHEN 'humidity' THEN COALESCE(humidity, 60.0) WHEN 'days_passed' THEN 15.0 WHEN 'year' THEN year(d)
+              WHEN 'month' THEN month(d) WHEN 'day' THEN day(d) WHEN 'day_of_week' THEN isodow(d) - 1
+              ELSE CASE WHEN name = 'weather_' || weather THEN 1 ELSE 0 END END AS DOUBLE) AS x
+            FROM asked JOIN names USING (bean_name) WHERE name NOT LIKE 'origin%'),
+        walk0 AS (SELECT request_id, bean_name, tree, node, m0, m1, m2, FALSE AS done
+            FROM asked JOIN stats0 USING (bean_name))""",
+    ]
+    for d in range(spec.max_depth):
+        parts.append(
+            f"""moved{d} AS (SELECT request_id, w.bean_name, w.tree, w.node AS old, w.m0 AS o0, w.m1 AS o1, w.m2 AS o2,
+                w.done OR s.node IS NULL AS done, w.node * 2 + CASE WHEN v.x > s.threshold THEN 1 ELSE 0 END AS node
+                FROM walk{d} w LEFT JOIN splits{d} s ON NOT w.done AND w.bean_name = s.bean_name AND w.tree = s.tree AND w.node = s.node
+                LEFT JOIN asked_values v USING (request_id, feature)),
+            walk{d + 1} AS (SELECT request_id, m.bean_name, m.tree, CASE WHEN done THEN old ELSE m.node END AS node,
+                CASE WHEN done THEN o0 ELSE m0 END AS m0, CASE WHEN done THEN o1 ELSE m1 END AS m1,
+                CASE WHEN done THEN o2 ELSE m2 END AS m2, done
+                FROM moved{d} m LEFT JOIN stats{d + 1} s ON NOT done AND m.bean_name = s.bean_name AND m.tree = s.tree AND m.node = s.node)"""
+        )
+    parts.append(
+        f"""scored AS (SELECT request_id, ROUND(AVG(m0), 6) AS mesh, ROUND(AVG(m1), 6) AS gram, ROUND(AVG(m2), 4) AS extraction_time
+            FROM walk{spec.max_depth} GROUP BY request_id),
+        sampled AS (SELECT bean_name, COUNT(*) AS sample_count FROM brews GROUP BY bean_name HAVING COUNT(*) >= 10)"""
+    )
+    return ",\n".join(parts)
+
+
+def _rounded_scores(scored: DataFrame) -> DataFrame:
+    return scored.withColumns(
+        {
+            "mesh": F.round("mesh", 6),
+            "gram": F.round("gram", 6),
+            "extraction_time": F.round("extraction_time", 4),
+            "confidence": F.round("confidence", 6),
+        }
+    )
+
+
+@query(
+    f"""
+    WITH {_scored_sql(EVALUATION)}
+    SELECT request_id, bean_name, bean_origin, date, weather, temperature, humidity, days_passed, mesh, gram, extraction_time,
+           CASE WHEN sample_count IS NULL THEN 'no_model' ELSE 'ok' END AS status,
+           CASE WHEN sample_count IS NOT NULL THEN ROUND(LEAST(0.95::DOUBLE, 0.7::DOUBLE + sample_count / 100.0::DOUBLE * 0.2::DOUBLE), 6) END AS confidence
+    FROM asked LEFT JOIN scored USING (request_id) LEFT JOIN sampled USING (bean_name)
+    """
+)
 def score_saved_models(spark, sf):
     fitted, rows = _stored(spark, sf, evaluation.WEATHER_ONLY)
-    return registry.score_saved(_requests(spark, sf), fitted, rows)
+    return _rounded_scores(registry.score_saved(_requests(spark, sf), fitted, rows))
 
 
 @query()
