@@ -6,21 +6,49 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from steepgrid.functions.columns import first_reason
+from steepgrid.functions.columns import collated, first_reason
 from steepgrid.operators.reads import exists_flag
+from steepgrid.session import materialise
 
 GATE_PERCENT = 80.0
 
 
+def ids_by_name(
+    dims: DataFrame, dim_name: str, dim_id: str, alias: str = "bean_id", collation: str | None = None
+) -> DataFrame:
+    """``_name`` and the smallest id of every name; names that a collation takes for equal are one name."""
+    return dims.groupBy(collated(dim_name, collation).alias("_name")).agg(F.min(dim_id).alias(alias))
+
+
 def resolve_dim(
-    batch: DataFrame, dims: DataFrame, name_col: str, dim_name: str, dim_id: str, alias: str = "bean_id"
+    batch: DataFrame,
+    dims: DataFrame,
+    name_col: str,
+    dim_name: str,
+    dim_id: str,
+    alias: str = "bean_id",
+    collation: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(rows with the id of their name, rows whose name is unknown); a repeated name means its smallest id."""
-    ids = dims.groupBy(F.col(dim_name).alias("_name")).agg(F.min(dim_id).alias(alias))
-    on = F.col(name_col) == F.col("_name")
+    ids = ids_by_name(dims, dim_name, dim_id, alias, collation)
+    on = collated(name_col, collation) == F.col("_name")
     return batch.join(ids, on, "inner").drop("_name"), batch.join(ids, on, "left_anti")
 
 
+def table_slice(table: DataFrame, batch: DataFrame, partition: str) -> DataFrame:
+    """The rows of a table partitioned by ``partition`` that share a partition with the batch.
+
+    The batch's partition values are written first; their range is a filter that the listing of the table's
+    partitions meets, and inside it a dynamic filter leaves out the partitions between.
+    """
+    values = materialise(batch.select(partition).where(F.col(partition).isNotNull()).distinct(), "batch-partitions")
+    ends = values.agg(F.min(partition).alias("low"), F.max(partition).alias("high")).first()
+    if ends["low"] is None:
+        return table.where(F.lit(False))
+    inside = F.col(partition).between(F.lit(ends["low"]), F.lit(ends["high"]))
+    return table.where(inside).join(values.where(inside), partition, "left_semi").select(*table.columns)
+
+
 def _keys_of(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct keys: a key held by many rows becomes one row per map task before the shuffle."""
     return table.select(*keys).distinct()
@@ -88,13 +116,19 @@ def append_new(
     dim_id: str,
     id_alias: str = "bean_id",
     limit: float = GATE_PERCENT,
+    collation: str | None = None,
+    partition: str | None = None,
 ) -> DataFrame:
     """Rows an idempotent append adds: gate, name resolved, not stored yet, first of its key.
 
-    The gate's total counts unknown names too. A NULL in the key cannot be stored and is left out.
+    The gate's total counts unknown names too. A NULL in the key cannot be stored and is left out. ``partition`` names
+    the column that the stored table is partitioned by, if it is a function of the key: then only the
+    batch's partitions are read.
     """
-    ids = dims.groupBy(F.col(dim_name).alias("_name")).agg(F.min(dim_id).alias(id_alias))
-    resolved = batch.join(ids, F.col(name_col) == F.col("_name"), "left").drop("_name")
+    if partition is not None:
+        table = table_slice(table, batch, partition)
+    ids = ids_by_name(dims, dim_name, dim_id, id_alias, collation)
+    resolved = batch.join(ids, collated(name_col, collation) == F.col("_name"), "left").drop("_name")
     is_open = gate_open(duplicate_rate(resolved, table, keys), limit)
     storable = resolved.dropna(subset=list(keys)).where(is_open.scalar())
     return new_rows(first_per_key(storable, keys, order), table, keys)

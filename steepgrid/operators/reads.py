@@ -165,11 +165,12 @@ def with_origin(
     origin_col: str,
     default: str = DEFAULT_ORIGIN,
     alias: str = "origin",
+    collation: str | None = None,
 ) -> DataFrame:
     """Add the origin a name stands for, with a default; several rows per name give the smallest."""
-    known = dims.groupBy(F.col(dim_key).alias("_name")).agg(F.min(origin_col).alias("_origin"))
+    known = dims.groupBy(collated(dim_key, collation).alias("_name")).agg(F.min(origin_col).alias("_origin"))
     return (
-        df.join(known, F.col(df_key) == F.col("_name"), "left")
+        df.join(known, collated(df_key, collation) == F.col("_name"), "left")
         .withColumn(alias, F.coalesce("_origin", F.lit(default)))
         .drop("_name", "_origin")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -12,10 +13,11 @@ from steepgrid.operators.changes import upsert
 from steepgrid.operators.features import align
 from steepgrid.operators.forest import Forest, predict
 from steepgrid.schemas import BASE_FEATURES, TARGETS
-from steepgrid.sources.tables import latest_version, read_latest, write_version
+from steepgrid.sources.tables import latest_version, read_latest, read_version, write_version
 
 MODEL_TYPE = "multi-output random forest"
 REGISTRY, ROOTS, SPLITS = "registry", "roots", "splits"
+MODEL_VERSION = "model_version"  # the folder that holds a bean's trees
 
 
 def registry_rows(
@@ -38,33 +40,36 @@ def registry_rows(
         F.lit(data_source).alias("data_source"),
         F.lit(as_of).alias("last_updated"),
         F.col("sample_count").cast("bigint").alias("sample_count"),
+        F.lit(None).cast("string").alias("model_version"),
     )
 
 
-def register_model(spark: SparkSession, base: str, rows: DataFrame) -> int:
-    """Insert or replace the beans' registry rows as a new version of the registry."""
-    path = f"{base}/{REGISTRY}"
-    if latest_version(spark, path) is None:
-        return write_version(rows, path)
-    return write_version(upsert(read_latest(spark, path), rows, "bean_name"), path)
+def register_model(spark: SparkSession, base: str, rows: DataFrame, after: int | None = None) -> int:
+    """Insert or replace the beans' registry rows as a new version of the registry.
 
+    ``after`` is the registry version that the caller has read; if another one was committed since, this one fails.
+    """
+    path = f"{base}/{REGISTRY}"
+    known = latest_version(spark, path) or 0 if after is None else after
+    merged = upsert(read_version(spark, path, known), rows, "bean_name") if known else rows
+    return write_version(merged, path, known)
 
-def _merge(spark: SparkSession, path: str, rows: DataFrame, beans: DataFrame) -> None:
-    """Replace the node rows of the given beans; files stay sorted by bean for pruned reads."""
-    if latest_version(spark, path) is not None:
-        kept = read_latest(spark, path).join(beans, "bean_name", "left_anti")
-        rows = kept.unionByName(rows)
-    write_version(rows.repartitionByRange("bean_name", "tree").sortWithinPartitions("bean_name"), path)
 
+def save_model(spark: SparkSession, base: str, forest: Forest, registry: DataFrame) -> int:
+    """Store the forests of all beans in ``registry`` and register them, all at once for readers.
 
-def save_model(spark: SparkSession, base: str, forest: Forest, registry: DataFrame) -> None:
-    """Store the forests of all beans in ``registry`` and register them; readers switch on the registry."""
+    Trees go to a folder of their own, which nobody reads until a registry row names it: the registry's commit is the
+    only moment at which readers change. Beans that are not in ``registry`` keep the folders they have, so
+    nothing is copied. Of two writers that started from the same registry, the later commit fails.
+    """
     bean = forest.group[0]
-    beans = registry.select("bean_name").distinct()
-    roots = forest.roots.withColumnRenamed(bean, "bean_name")
-    _merge(spark, f"{base}/{ROOTS}", roots, beans)
-    _merge(spark, f"{base}/{SPLITS}", forest.splits().withColumnRenamed(bean, "bean_name"), beans)
-    register_model(spark, base, registry)
+    after = latest_version(spark, f"{base}/{REGISTRY}") or 0
+    version = f"v-{uuid.uuid4().hex}"
+    for name, rows in ((ROOTS, forest.roots), (SPLITS, forest.splits())):
+        # files stay sorted by bean for pruned reads
+        kept = rows.withColumnRenamed(bean, "bean_name").repartitionByRange("bean_name", "tree")
+        kept.sortWithinPartitions("bean_name").write.parquet(f"{base}/{name}/{MODEL_VERSION}={version}")
+    return register_model(spark, base, registry.withColumn(MODEL_VERSION, F.lit(version)), after)
 
 
 def load_registry(spark: SparkSession, base: str) -> DataFrame:
@@ -72,15 +77,31 @@ def load_registry(spark: SparkSession, base: str) -> DataFrame:
 
 
 def load_model(
-    spark: SparkSession, base: str, beans: Sequence[str] | None = None, targets: Sequence[str] = TARGETS
+    spark: SparkSession,
+    base: str,
+    beans: Sequence[str] | None = None,
+    targets: Sequence[str] = TARGETS,
+    registry: DataFrame | None = None,
 ) -> Forest:
-    """Stored forests of the named beans, or of all."""
-    def chosen(df: DataFrame) -> DataFrame:
-        return df if beans is None else df.where(F.col("bean_name").isin(list(beans)))
-
-    roots = chosen(read_latest(spark, f"{base}/{ROOTS}"))
-    splits = chosen(read_latest(spark, f"{base}/{SPLITS}"))
-    return Forest(["bean_name"], list(targets), roots, splits)
+    """Stored forests of the named beans, or of all, as one state of the registry names them.
+
+    Pass the ``registry`` that goes with the forests where both are needed.
+    """
+    rows = load_registry(spark, base) if registry is None else registry
+    named = rows.select("bean_name", MODEL_VERSION)
+    if beans is not None:
+        named = named.where(F.col("bean_name").isin(list(beans)))
+    versions = [r[MODEL_VERSION] for r in named.select(MODEL_VERSION).distinct().collect()]  # at most one per save
+
+    def stored(name: str) -> DataFrame:
+        path = f"{base}/{name}"
+        folders = [f"{path}/{MODEL_VERSION}={v}" for v in versions if v is not None]
+        if not folders:
+            raise FileNotFoundError(f"no stored model of these beans under {base}")
+        found = spark.read.option("basePath", path).parquet(*folders)
+        return found.join(named, ["bean_name", MODEL_VERSION], "left_semi").drop(MODEL_VERSION)
+
+    return Forest(["bean_name"], list(targets), stored(ROOTS), stored(SPLITS))
 
 
 def request_features(requests: DataFrame) -> DataFrame:

@@ -5,13 +5,16 @@ The batch is every line item; what is stored already are the line items with sta
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from steepgrid.functions import columns
-from steepgrid.operators import changes, reads
+from steepgrid.operators import changes, partitions, reads
 from steepgrid.operators.ranks import assign_ids
 from steepgrid.plans.catalog import query, table
 from steepgrid.plans.read_queries import LINE_KEY, LINE_KEY_SQL
+from steepgrid.session import scratch_dir
 
 # Idempotence key: (bean, date, extraction time); the rest of the row orders rows of one key.
 BREW_KEY = ["l_orderkey", "l_shipdate", "l_quantity"]
@@ -162,6 +165,26 @@ def idempotent_append(spark, sf):
     return _ship_date(rows.drop("p_name"))
 
 
+@query(
+    f"""
+    {APPEND_SQL}
+    SELECT bean_id, CAST(l_shipdate AS DATE) AS ship_date, l_quantity, l_orderkey, {ORDER_SQL} FROM inserted
+    WHERE year(l_shipdate) = 1995
+    """
+)
+def partitioned_append(spark, sf):
+    """The line items of 1995 appended to a table stored by month, of which only that year's months are read."""
+    batch, stored, dims, _ = _append_inputs(spark, sf)
+    by_month = lambda df: df.withColumn("month", F.date_format("l_shipdate", "yyyy-MM"))
+    path = f"{scratch_dir(spark)}/stored-{uuid.uuid4().hex}"
+    partitions.store_partitioned(by_month(stored), path, "month")
+    rows = changes.append_new(
+        by_month(batch).where(F.year("l_shipdate") == 1995), spark.read.parquet(path), dims, APPEND_KEY,
+        ["l_orderkey", *BREW_ORDER], "p_name", "p_name", "p_partkey", partition="month",
+    )
+    return _ship_date(rows.drop("p_name", "month"))
+
+
 @query(
     f"""
     {APPEND_SQL}
@@ -352,6 +375,50 @@ def delete_owned(spark, sf):
     )
 
 
+# Orders stored by month. Urgent orders of 1996 change, orders of 1997 come anew with another price, some under new
+# keys, and the orders whose key is divisible by 50 go.
+STORED_ORDERS_SQL = "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month, o_orderstatus, o_totalprice FROM orders"
+
+
+def _monthly_orders(spark, sf):
+    return table(spark, sf, "orders").select(
+        "o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderstatus", "o_totalprice", "o_orderpriority"
+    )
+
+
+@query(
+    f"""
+    WITH stored AS ({STORED_ORDERS_SQL}),
+    updated AS (SELECT s.o_orderkey, month, CASE WHEN hit THEN 'U' ELSE o_orderstatus END AS o_orderstatus,
+                  CASE WHEN hit THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice
+                FROM stored s JOIN (SELECT o_orderkey, o_orderpriority = '1-URGENT' AND year(o_orderdate) = 1996 AS hit FROM orders)
+                USING (o_orderkey)),
+    fresh AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey + 1000000000 ELSE o_orderkey END AS o_orderkey,
+                month, 'N' AS o_orderstatus, o_totalprice * 2 AS o_totalprice FROM stored WHERE month LIKE '1997%'),
+    merged AS (SELECT * FROM updated WHERE o_orderkey NOT IN (SELECT o_orderkey FROM fresh) UNION ALL SELECT * FROM fresh)
+    SELECT * FROM merged WHERE o_orderkey % 50 <> 0
+    """
+)
+def changed_partitions(spark, sf):
+    """An update, an upsert and a delete on a table in month folders, each rewriting the folders that it touches."""
+    orders = _monthly_orders(spark, sf)
+    path = f"{scratch_dir(spark)}/orders-{uuid.uuid4().hex}"
+    columns_kept = ["o_orderkey", "month", "o_orderstatus", "o_totalprice"]
+    partitions.store_partitioned(orders.select(*columns_kept), path, "month")
+    urgent = orders.where("o_orderpriority = '1-URGENT' and month like '1996%'").withColumns(
+        {"o_orderstatus": F.lit("U"), "o_totalprice": F.col("o_totalprice") + 1}
+    )
+    partitions.update_partitions(spark, path, "month", urgent, "o_orderkey", ["o_orderstatus", "o_totalprice"])
+    moved = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") + 1000000000).otherwise(F.col("o_orderkey"))
+    fresh = orders.where("month like '1997%'").select(
+        moved.alias("o_orderkey"), "month", F.lit("N").alias("o_orderstatus"), (F.col("o_totalprice") * 2).alias("o_totalprice")
+    )
+    partitions.upsert_partitions(spark, path, "month", fresh, "o_orderkey")
+    gone = spark.read.parquet(path).where("o_orderkey % 50 = 0")
+    partitions.delete_partitions(spark, path, "month", gone, "o_orderkey")
+    return spark.read.parquet(path).select(*columns_kept)
+
+
 def _cascade(spark, sf):
     owners = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
     return changes.cascade_delete(

@@ -7,8 +7,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from steepgrid.functions.columns import fill_weather, round_int
-from steepgrid.operators.changes import append_new, append_report, duplicate_rate, gate_open, resolve_dim
+from steepgrid.functions.columns import collated, fill_weather, round_int
+from steepgrid.operators.changes import (
+    append_new,
+    append_report,
+    duplicate_rate,
+    gate_open,
+    ids_by_name,
+    resolve_dim,
+    table_slice,
+)
 from steepgrid.operators.counts import dataset_summary
 from steepgrid.operators.ranks import assign_ids
 from steepgrid.operators.reads import join_weather
@@ -70,26 +78,31 @@ def ingest(
     beans: DataFrame,
     recipe_path: str,
     keys: list[str] = IDEMPOTENCE_KEY,
+    collation: str | None = None,
+    partition: str | None = None,
 ) -> IngestResult:
     """Append the merged brews that the recipe table does not hold yet.
 
     The merged rows and the rows to insert are each written once and reused. Running the same
-    logs again inserts nothing.
+    logs again inserts nothing. ``collation`` decides which bean names are the same; ``partition``
+    is the column a partitioned recipe table is laid out by, and then only the batch's partitions are compared.
     """
     recipe = spark.read.schema(RECIPE).parquet(recipe_path)
     batch = materialise(recipe_types(merged), "merged")
-    rows = append_new(batch, recipe, beans, keys, FILE_ORDER, "bean_name", "name", "id")
+    stored = recipe if partition is None else table_slice(recipe, batch, partition)
+    rows = append_new(batch, stored, beans, keys, FILE_ORDER, "bean_name", "name", "id", collation=collation)
     inserted = materialise(
         assign_ids(rows.select(*INSERT_COLUMNS, *FILE_ORDER), recipe, "id", FILE_ORDER).select(
             *[F.col(f.name).cast(f.dataType) for f in RECIPE]
         ),
         "inserted",
     )
-    known, unknown = resolve_dim(batch, beans, "bean_name", "name", "id")
-    ids = beans.groupBy(F.col("name").alias("bean_name")).agg(F.min("id").alias("bean_id"))
-    duplicates = materialise(duplicate_rate(batch.join(ids, "bean_name", "left"), recipe, keys), "duplicates")
-    report = materialise(append_report(known, recipe, keys, gate_open(duplicates)), "report")
-    append_rows(inserted, recipe_path)
+    known, unknown = resolve_dim(batch, beans, "bean_name", "name", "id", collation=collation)
+    ids = ids_by_name(beans, "name", "id", collation=collation)
+    named = batch.join(ids, collated("bean_name", collation) == F.col("_name"), "left").drop("_name")
+    duplicates = materialise(duplicate_rate(named, stored, keys), "duplicates")
+    report = materialise(append_report(known, stored, keys, gate_open(duplicates)), "report")
+    append_rows(inserted, recipe_path, partition)
     return IngestResult(
         inserted,
         report,

@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from steepgrid.functions import columns
 from steepgrid.operators.reads import join_weather
 from steepgrid.plans.catalog import query, table
-from steepgrid.session import materialise
-from steepgrid.sources.logs import concat_frames
+from steepgrid.session import materialise, scratch_dir
+from steepgrid.sources.logs import (
+    canonical,
+    concat_frames,
+    read_monthly,
+    read_weather,
+    require_rows,
+    split_quarantine,
+    with_file_tags,
+    write_merged,
+)
 from steepgrid.sources.observations import observation_defaults, parse_observations
+from steepgrid.sources.seed import SERIES, seed_if_empty, seed_recipes
 
 # Days between the first order date and the first event date; both sides of the weather join use it.
 DAY_SHIFT = 9496
@@ -176,3 +188,131 @@ def concat_event_frames(spark, sf):
     low = events.where(F.col("value") < 50).select("event_id", "event_type")
     high = events.where(F.col("value") >= 20).select("event_type", "event_id")
     return concat_frames(low, high)
+
+
+# --- CSV: the given tables written as logs, read back by the operators ------------------------------------
+
+LOG_TAGS = {"1995_03": ("Sidamo", "Aki"), "1996_11": ("Kona", "Bo")}
+LOG_DEFAULT = ("Huila", "Cy")
+
+# Every order is a brew of its month's log. A month with an order whose key is divisible by 1499 holds a day that
+# cannot be read, one with a key divisible by 1511 a number that is none, one with 1523 a row without its last field.
+LOGS_SQL = f"""
+    logs AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, strftime(o_orderdate, '%Y_%m') AS month,
+               CASE o_orderstatus WHEN 'F' THEN '晴れ' WHEN 'O' THEN '雨' ELSE '晴れ' END AS weather,
+               CASE WHEN o_orderpriority <> '5-LOW' THEN CAST(o_custkey % 30 AS DOUBLE) END AS days_passed,
+               o_totalprice AS mesh, CAST(o_custkey AS DOUBLE) / 8 AS gram
+             FROM orders),
+    bad AS (SELECT month, COUNT(*) AS bad_rows, bool_or(broken) AS row, bool_or(NOT broken) AS day
+            FROM (SELECT *, o_orderkey % 1511 = 0 OR o_orderkey % 1523 = 0 AS broken FROM logs) WHERE o_orderkey % 1499 = 0 OR o_orderkey % 1511 = 0 OR o_orderkey % 1523 = 0 GROUP BY month)
+"""
+
+
+def _written_logs(spark, sf) -> str:
+    """The orders as CSV logs, a folder a month; returns the glob of the files."""
+    key = F.col("o_orderkey")
+    day = F.when(key % 1499 == 0, "no day").otherwise(F.date_format("o_orderdate", columns.DAY_FORMAT))
+    gram = F.when(key % 1511 == 0, "some").otherwise((F.col("o_custkey") / 8).cast("string"))
+    word = F.when(F.col("o_orderstatus") == "F", "晴").when(F.col("o_orderstatus") == "O", "くもり/雨").otherwise("晴/雪")
+    days = F.when(F.col("o_orderpriority") != "5-LOW", (F.col("o_custkey") % 30).cast("string")).otherwise("")
+    fields = F.concat_ws(",", day, word, days, F.col("o_totalprice").cast("string"), gram)
+    line = F.when(key % 1523 == 0, fields).otherwise(F.concat_ws(",", fields, key.cast("string")))
+    path = f"{scratch_dir(spark)}/logs-{uuid.uuid4().hex}"
+    lines = table(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy_MM").alias("month"), line.alias("value"))
+    header = "Day,Weather,days_passed,mesh,gram,extraction_time"
+    heads = lines.select("month").distinct().withColumn("value", F.lit(header))
+    # the header is the first line of every file, so a month is one file here
+    ordered = heads.withColumn("at", F.lit(0)).unionByName(lines.withColumn("at", F.lit(1)))
+    ordered.repartition("month").sortWithinPartitions("month", "at").drop("at").write.partitionBy("month").text(path)
+    return f"{path}/month=*/*.txt"
+
+
+def _sound_logs(spark, sf):
+    return split_quarantine(read_monthly(spark, _written_logs(spark, sf)))
+
+
+@query(
+    f"""
+    WITH {LOGS_SQL}
+    SELECT date, CAST(year(date) AS INT) AS year, CAST(month(date) AS INT) AS month, CAST(day(date) AS INT) AS day,
+           CAST(isodow(date) - 1 AS INT) AS day_of_week, weather, days_passed, mesh, gram, o_orderkey AS extraction_time,
+           CASE month WHEN '1995_03' THEN 'Sidamo' WHEN '1996_11' THEN 'Kona' ELSE 'Huila' END AS bean_name,
+           CASE month WHEN '1995_03' THEN 'Aki' WHEN '1996_11' THEN 'Bo' ELSE 'Cy' END AS user_name
+    FROM logs WHERE month NOT IN (SELECT month FROM bad)
+    """
+)
+def csv_logs(spark, sf):
+    sound, _ = _sound_logs(spark, sf)
+    return canonical(with_file_tags(require_rows(sound), LOG_TAGS, LOG_DEFAULT))
+
+
+@query(
+    f"""
+    WITH {LOGS_SQL}
+    SELECT month, bad_rows, concat_ws(',', CASE WHEN day THEN 'day' END, CASE WHEN row THEN 'row' END) AS reasons FROM bad
+    """
+)
+def csv_quarantine(spark, sf):
+    _, bad = _sound_logs(spark, sf)
+    month = F.regexp_extract("file_path", "month=([0-9_]+)", 1)
+    return bad.select(month.alias("month"), "bad_rows", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(
+    f"""
+    WITH daily AS (SELECT CAST(ts AS DATE) - {DAY_SHIFT} AS date, ROUND(AVG(value), 4) AS temperature,
+                          CAST(COUNT(*) AS DOUBLE) AS humidity FROM events GROUP BY 1)
+    SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, temperature, humidity
+    FROM orders LEFT JOIN daily ON CAST(o_orderdate AS DATE) = daily.date
+    """
+)
+def csv_weather(spark, sf):
+    """Daily weather written as CSV and read back, joined, and the merged rows written and read once more."""
+    path = f"{scratch_dir(spark)}/weather-{uuid.uuid4().hex}"
+    daily = table(spark, sf, "events").groupBy(F.date_sub(F.to_date("ts"), DAY_SHIFT).alias("date")).agg(
+        F.round(F.avg("value"), 4).alias("temperature"), F.count("*").cast("double").alias("humidity")
+    )
+    write_merged(daily, f"{path}/daily")
+    brews = table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date"))
+    write_merged(join_weather(brews, read_weather(spark, f"{path}/daily")), f"{path}/merged")
+    schema = "date date, o_orderkey long, temperature double, humidity double"
+    return spark.read.schema(schema).option("header", True).csv(f"{path}/merged")
+
+
+@query(
+    """
+    SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, CAST(NULL AS DOUBLE) AS temperature, CAST(NULL AS DOUBLE) AS humidity
+    FROM orders
+    """
+)
+def csv_weather_missing(spark, sf):
+    absent = read_weather(spark, f"{scratch_dir(spark)}/no-weather-{uuid.uuid4().hex}", missing="empty")
+    return join_weather(table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date")), absent)
+
+
+SEED_AS_OF = "1999-06-30"
+
+
+@query(
+    f"""
+    SELECT 2 AS bean_id, CAST(DATE '{SEED_AS_OF}' - CAST(i + 20 AS INTEGER) AS DATE) AS date,
+           CASE i % 4 WHEN 0 THEN '晴れ' WHEN 1 THEN '曇り' WHEN 2 THEN '雨' ELSE '雪' END AS weather,
+           CAST(45 + i % 35 AS INTEGER) AS humidity, CAST(ROUND((2.1 + (i % 5) * 0.1) * 10) AS INTEGER) AS decigram,
+           CAST(ROUND((16.5 + (i % 4) * 0.5) * 10) AS INTEGER) AS decimesh
+    FROM range(1, (SELECT COUNT(*) FROM orders) + 1) r(i)
+    """
+)
+def seed_into_empty_tables(spark, sf):
+    """As many generated recipes as there are orders, as the store holds no order of the year 2020."""
+    orders = table(spark, sf, "orders")
+    stored = orders.where(F.year("o_orderdate") == 2020)
+    rows = seed_if_empty([stored, stored], seed_recipes(spark, orders.count(), SEED_AS_OF, SERIES[0]))
+    tenths = lambda c: F.round(F.col(c).cast("double") * 10).cast("int")
+    return rows.select("bean_id", "date", "weather", "humidity", tenths("gram").alias("decigram"), tenths("mesh").alias("decimesh"))
+
+
+@query("SELECT 0 AS bean_id WHERE (SELECT COUNT(*) FROM orders) = 0")
+def seed_into_filled_tables(spark, sf):
+    orders = table(spark, sf, "orders")
+    empty = orders.where(F.year("o_orderdate") == 2020)
+    return seed_if_empty([empty, orders], seed_recipes(spark, orders.count(), SEED_AS_OF, SERIES[0])).select("bean_id")

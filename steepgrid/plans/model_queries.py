@@ -572,7 +572,8 @@ def _stored(spark, sf, categories, spec=EVALUATION):
     fitted, lists = evaluation.train(brews(spark, sf), KEY, categories=categories, spec=spec)
     rows = registry.registry_rows(lists, "bean_name", AS_OF, categories=list(categories))
     registry.save_model(spark, base, fitted, rows)
-    return registry.load_model(spark, base), registry.load_registry(spark, base)
+    known = registry.load_registry(spark, base)
+    return registry.load_model(spark, base, registry=known), known
 
 
 @query()

@@ -95,18 +95,19 @@ REQUEST = T.StructType(
     ]
 )
 
-# Column order of a merged brew row before the weather columns are added.
+# Column order of a merged brew row before the weather columns are added.
 CANONICAL = [
     "date", "year", "month", "day", "day_of_week", "weather", "days_passed",
     "mesh", "gram", "extraction_time", "bean_name", "user_name",
 ]
 
-# Columns an insert fills; the id comes from the table.
+# Columns an insert fills; the id comes from the table.
 INSERT_COLUMNS = [
     "bean_id", "date", "weather", "temperature", "humidity",
     "gram", "mesh", "extraction_time", "days_passed",
 ]
 
+# Key, targets, tolerances and numeric features of the models.
 IDEMPOTENCE_KEY = ["bean_id", "date", "extraction_time"]
 
 TARGETS = ["mesh", "gram", "extraction_time"]

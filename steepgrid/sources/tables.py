@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-VERSION_PREFIX = "version="
+COMMITS = "_commits"
 
 
 def read_table(
@@ -27,42 +29,58 @@ def read_table(
     return spark.read.format(fmt).options(**options).load(f"{base.rstrip('/')}/{name}{suffix}")
 
 
-def _versions(spark: SparkSession, base: str) -> list[int]:
-    """Finished versions under ``base``; a directory without its success marker does not count."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(base)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of a folder wherever the cluster keeps it."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def _committed(spark: SparkSession, base: str) -> dict[int, str]:
+    """Version numbers and their folders. A commit is one small file, named by the version, that holds the folder's name."""
+    fs, folder = _folder(spark, f"{base.rstrip('/')}/{COMMITS}")
     if not fs.exists(folder):
-        return []
-    found = []
-    for status in fs.listStatus(folder):
-        name = status.getPath().getName()
-        marker = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith(VERSION_PREFIX) and fs.exists(marker):
-            found.append(int(name[len(VERSION_PREFIX):]))
-    return sorted(found)
+        return {}
+    rows = spark.read.text(folder.toString()).select("value", "_metadata.file_name").collect()
+    return {int(r["file_name"].removesuffix(".txt")): r["value"] for r in rows}
 
 
 def latest_version(spark: SparkSession, base: str) -> int | None:
-    found = _versions(spark, base)
-    return found[-1] if found else None
+    return max(_committed(spark, base), default=None)
+
+
+def read_version(spark: SparkSession, base: str, version: int) -> DataFrame:
+    return spark.read.parquet(f"{base.rstrip('/')}/{_committed(spark, base)[version]}")
 
 
 def read_latest(spark: SparkSession, base: str) -> DataFrame:
-    """The newest finished version of a table."""
+    """The newest committed version of a table."""
     version = latest_version(spark, base)
     if version is None:
         raise FileNotFoundError(f"no finished version under {base}")
-    return spark.read.parquet(f"{base.rstrip('/')}/{VERSION_PREFIX}{version}")
+    return read_version(spark, base, version)
+
 
+def write_version(df: DataFrame, base: str, after: int | None = None) -> int:
+    """Write ``df`` as the next version, so a table can be derived from its own current state.
 
-def write_version(df: DataFrame, base: str) -> int:
-    """Write ``df`` as the next version, so a table can be derived from its own current state."""
-    version = (latest_version(df.sparkSession, base) or 0) + 1
-    df.write.parquet(f"{base.rstrip('/')}/{VERSION_PREFIX}{version}")
+    ``after`` is the version that ``df`` was derived from (default: the newest one, 0 for a table not yet there). Rows are
+    written to a folder of their own and count only once the commit file is there; creating it fails if somebody
+    else has committed the same version, and then nothing has changed for readers.
+    """
+    spark, base = df.sparkSession, base.rstrip("/")
+    version = (latest_version(spark, base) or 0 if after is None else after) + 1
+    name = f"data-{uuid.uuid4().hex}"
+    df.write.parquet(f"{base}/{name}")
+    fs, commit = _folder(spark, f"{base}/{COMMITS}/{version}.txt")
+    if fs.exists(commit):
+        raise FileExistsError(f"version {version} of {base} has been written by somebody else")
+    stream = fs.create(commit, False)  # refuses an existing file
+    stream.write(bytearray(name, "utf-8"))
+    stream.close()
     return version
 
 
-def append_rows(df: DataFrame, path: str) -> None:
-    """Append a batch of rows in one committed job."""
-    df.write.mode("append").parquet(path)
+def append_rows(df: DataFrame, path: str, partition: str | None = None) -> None:
+    """Append a batch of rows in one committed job, by partition folders if asked for."""
+    writer = df.write.mode("append")
+    (writer.partitionBy(partition) if partition else writer).parquet(path)

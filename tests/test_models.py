@@ -251,3 +251,40 @@ def test_models_are_stored_and_replaced(spark, tmp_path):
     assert registry.model_status(rows).first().mode == "mixed"
     assert registry.model_status(rows.where("false")).first().mode == "dynamic"
     assert registry.model_info(rows).count() == 2
+
+
+def test_a_save_that_ends_midway_changes_nothing_for_readers(spark, tmp_path, monkeypatch):
+    base = f"{tmp_path}/models"
+
+    def fit(n):
+        fitted, lists = evaluation.train(brews(spark, {"b": n}), ["id"], spec=SPEC)
+        return fitted, registry.registry_rows(lists, "bean_name", f"t{n}")
+
+    def state():
+        rows = registry.load_registry(spark, base)
+        roots = registry.load_model(spark, base, registry=rows).roots
+        return [(r.last_updated, r.sample_count) for r in rows.collect()], sorted(tuple(r) for r in roots.collect())
+
+    registry.save_model(spark, base, *fit(30))
+    before = state()
+    other = fit(60)
+    with monkeypatch.context() as patch:
+        patch.setattr(registry, "register_model", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            registry.save_model(spark, base, *other)
+    assert state() == before
+
+    # A second writer that has read the same registry loses, and readers keep what the first one stored.
+    commit = registry.register_model
+
+    def late(spark_, base_, rows, after):
+        commit(spark_, base_, registry.load_registry(spark, base).withColumn("last_updated", F.lit("first")), after)
+        return commit(spark_, base_, rows, after)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(registry, "register_model", late)
+        with pytest.raises(FileExistsError):
+            registry.save_model(spark, base, *other)
+    assert state()[0] == [("first", 30)] and state()[1] == before[1]
+    registry.save_model(spark, base, *other)
+    assert state()[0] == [("t60", 60)]

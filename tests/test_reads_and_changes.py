@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from steepgrid.operators import changes, reads
+from steepgrid.operators import changes, partitions, reads
 from steepgrid.sources.tables import append_rows, latest_version, read_latest, read_table, write_version
 
 
@@ -144,3 +144,95 @@ def test_versions_and_appends(spark, tmp_path):
     append_rows(spark.range(2), f"{tmp_path}/a.parquet")
     append_rows(spark.range(2), f"{tmp_path}/a.parquet")
     assert read_table(spark, "a", str(tmp_path)).count() == 4
+
+
+COLLATION = "UNICODE_CI_AI_RTRIM"
+
+
+def test_names_meet_by_collation_in_joins(spark):
+    dims = spark.createDataFrame([(4, "A", "x"), (2, "a ", "w"), (5, "カ", "y"), (6, "É", "z")], "id int, name string, origin string")
+    rows = spark.createDataFrame([(1, "a "), (2, "か"), (3, "e"), (4, "q"), (5, None)], "k int, bean string")
+    known, unknown = changes.resolve_dim(rows, dims, "bean", "name", "id", collation=COLLATION)
+    assert sorted((r.k, r.bean, r.bean_id) for r in known.collect()) == [(1, "a ", 2), (2, "か", 5), (3, "e", 6)]
+    assert sorted(ids(unknown, "k")) == [4, 5]
+    known, unknown = changes.resolve_dim(rows, dims, "bean", "name", "id")
+    assert sorted((r.k, r.bean_id) for r in known.collect()) == [(1, 2)] and unknown.count() == 4
+    origins = reads.with_origin(rows, dims, "bean", "name", "origin", default="?", collation=COLLATION)
+    assert sorted((r.k, r.origin) for r in origins.collect()) == [(1, "w"), (2, "y"), (3, "z"), (4, "?"), (5, "?")]
+    firsts = reads.lookup_first(dims, "name", "id", COLLATION)
+    assert sorted(ids(firsts)) == [2, 5, 6]
+
+
+def files(path):
+    return {p.parent.name: {f.name for f in p.parent.glob("*.parquet")} for p in path.glob("*/*.parquet")}
+
+
+def months(spark, path, rows):
+    df = spark.createDataFrame(rows, "id int, month string, v int")
+    partitions.store_partitioned(df, str(path), "month")
+    return lambda: sorted(tuple(r) for r in spark.read.parquet(str(path)).select("id", "month", "v").collect())
+
+
+MONTHS = [(i, f"2031-{1 + i % 4:02d}", i * 10) for i in range(12)]
+
+
+def test_changes_rewrite_touched_folders_only(spark, tmp_path):
+    path = tmp_path / "t"
+    read = months(spark, path, MONTHS)
+    before = files(path)
+    change = spark.createDataFrame([(1, 7, 1), (1, 8, 2), (5, None, 1), (99, 3, 1)], "id int, v int, at int")
+    assert partitions.update_partitions(spark, str(path), "month", change, "id", ["v"], ["at"]) == ["2031-02"]
+    want = {i: (i, m, v) for i, m, v in MONTHS} | {1: (1, "2031-02", 8), 5: (5, "2031-02", None)}
+    assert read() == sorted(want.values())
+    after = files(path)
+    assert {m for m in before if before[m] != after[m]} == {"month=2031-02"}
+
+    new = spark.createDataFrame([(2, "2031-03", -1), (50, "2031-07", 5), (0, "2031-04", 0)], "id int, month string, v int")
+    assert partitions.upsert_partitions(spark, str(path), "month", new, "id") == ["2031-01", "2031-03", "2031-04", "2031-07"]
+    want |= {2: (2, "2031-03", -1), 50: (50, "2031-07", 5), 0: (0, "2031-04", 0)}
+    assert read() == sorted(want.values()) and files(path)["month=2031-02"] == after["month=2031-02"]
+
+    gone = spark.createDataFrame([(i,) for i in (50, 3, 3, 1000)], "id int")
+    assert partitions.delete_partitions(spark, str(path), "month", gone, "id") == ["2031-04", "2031-07"]
+    del want[50], want[3]
+    assert read() == sorted(want.values()) and files(path)["month=2031-02"] == after["month=2031-02"]
+    assert partitions.delete_partitions(spark, str(path), "month", gone, "id") == []
+
+
+def test_a_changed_partition_value_moves_the_row(spark, tmp_path):
+    path = tmp_path / "t"
+    read = months(spark, path, MONTHS)
+    moves = spark.createDataFrame([(0, "2031-02"), (77, "2031-03")], "id int, month string")
+    assert partitions.update_partitions(spark, str(path), "month", moves, "id", ["month"]) == ["2031-01", "2031-02"]
+    assert read() == sorted((i, "2031-02" if i == 0 else m, v) for i, m, v in MONTHS)
+
+
+def test_appends_read_the_partitions_of_the_batch(spark, tmp_path):
+    stored = spark.range(4000).select(
+        (F.col("id") % 50).cast("int").alias("bean_id"), F.date_add(F.lit(dt.date(2031, 1, 1)), (F.col("id") % 200).cast("int")).alias("date"),
+        (F.col("id") % 7).alias("extraction_time"))
+    append_rows(stored.repartition("date"), f"{tmp_path}/recipe", "date")
+    table = spark.read.parquet(f"{tmp_path}/recipe")
+    names = spark.createDataFrame([(i, f"b{i}") for i in range(50)], "id int, name string")
+    batch = spark.createDataFrame([(1, "b1", dt.date(2031, 1, 2), 99), (2, "b7", dt.date(2031, 1, 8), 0), (3, "b7", dt.date(2031, 3, 1), 98)],
+                                  "line int, bean string, date date, extraction_time long")
+    keys = ["bean_id", "date", "extraction_time"]
+    slice_ = changes.table_slice(table, batch, "date")
+    text = slice_._jdf.queryExecution().toString()
+    assert "dynamicpruning" in text.lower() and slice_.select("date").distinct().count() == 3
+    args = (batch, table, names, keys, ["line"], "bean", "name", "id")
+    pruned = changes.append_new(*args, partition="date")
+    assert sorted(ids(pruned, "line")) == sorted(ids(changes.append_new(*args), "line")) == [1, 3]
+    assert changes.append_new(batch.limit(0), *args[1:], partition="date").count() == 0
+
+
+def test_a_version_is_committed_once(spark, tmp_path):
+    base = f"{tmp_path}/t"
+    assert latest_version(spark, base) is None
+    assert write_version(spark.range(3), base) == 1
+    assert write_version(spark.range(4), base, after=1) == 2
+    with pytest.raises(FileExistsError):
+        write_version(spark.range(9), base, after=1)
+    assert read_latest(spark, base).count() == 4 and latest_version(spark, base) == 2
+    spark.range(7).write.parquet(f"{base}/data-unfinished")
+    assert read_latest(spark, base).count() == 4
