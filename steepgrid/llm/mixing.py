@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from steepgrid.llm.linking import probably_in
 from steepgrid.llm.text_stats import SYMBOLS, word_characters
-from steepgrid.llm.words import batched, lower_words, rows_of
+from steepgrid.llm.words import batched, hold, lower_words, rows_of, unused
 from steepgrid.session import materialise
 
 DOMAINS = ["clean", "low", "toxic"]
@@ -65,6 +65,7 @@ def marks(text: str | None) -> tuple[int, np.ndarray]:
     if not words:
         return 0, np.empty(0, np.int64)
     distinct = set(words)
+    hold(_word_marks)
     found = np.frombuffer(b"".join(map(_word_marks.__getitem__, distinct)), np.uint32)
     chars = max(1, word_characters(text))
     raw = text.encode("utf-8", "surrogatepass")
@@ -359,9 +360,10 @@ def mix_documents(
         return pd.Series(mixer.rates(mixer.posteriors(langs, found)) if len(found) else [], dtype="float64")
 
     times = copies(rate(_lang(docs, lang_col), F.col(text_col).cast("string")), F.col(id_col).cast("long"))
+    many, one = unused(docs.columns, "_copies", "_copy")
     return (
-        docs.withColumn("_copies", times)
-        .where("_copies > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        docs.withColumn(many, times)
+        .where(F.col(many) > 0)
+        .withColumn(one, F.explode(F.sequence(F.lit(1), F.col(many))))
         .select(*docs.columns)
     )

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from steepgrid.llm.text_stats import base_counts
-from steepgrid.llm.words import batched, rows_of, split_words
+from steepgrid.llm.words import batched, rows_of, split_words, unused
 from steepgrid.session import materialise
 
 FEATURES = 256
@@ -198,16 +198,8 @@ def held_out(id_col) -> F.Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def fit_quality(
-    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, features: int, ridge: float
-) -> tuple[Model, DataFrame]:
-    """The fitted model, and the id and statistics of every row."""
-    measured = materialise(
-        docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-            _measure, "id long, stats array<float>"
-        ),
-        "quality-stats",
-    )
+def fit_quality(measured: DataFrame, labels: DataFrame, id_col: str, features: int, ridge: float) -> Model:
+    """The model fitted on the labelled rows of ``measured``: id and statistics of every row."""
     taught = (
         labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
         .groupBy(F.col(id_col).cast("long").alias("label_id"))
@@ -227,7 +219,7 @@ def fit_quality(
         *[F.stddev_pop(F.col("stats")[i]).alias(f"s{i}") for i in range(N_STATS)],
     ).first()
     if not moments["n"]:
-        return Model(), measured
+        return Model()
     mean = np.array([moments[f"m{i}"] for i in range(N_STATS)])
     scale = np.array([moments[f"s{i}"] for i in range(N_STATS)])
     z = Features(mean, np.where(scale > 1e-6, scale, 1.0), features, SEED)
@@ -250,7 +242,7 @@ def fit_quality(
     weights = steps["docs"].to_numpy(float)
     levels = isotonic(steps["good"].to_numpy(float) / weights, weights)
     centres = (steps["bin"].to_numpy(float) + 0.5) / (BINS / 2) - 0.5
-    return Model(z, solve(total, ridge), centres, levels), measured
+    return Model(z, solve(total, ridge), centres, levels)
 
 
 def score_quality(
@@ -275,7 +267,13 @@ def score_quality(
     if all its labels are; null labels and null ids do not teach; without any usable label every
     score is 0.5; other columns are ignored.
     """
-    model, measured = fit_quality(docs, labels, id_col, text_col, features, ridge)
+    measured = materialise(
+        docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+            _measure, "id long, stats array<float>"
+        ),
+        "quality-stats",
+    )
+    model = fit_quality(measured, labels, id_col, features, ridge)
     scored = measured.mapInArrow(_score(model), "id long, score double")
     return scored.select(
         F.col("id").alias(id_col),
@@ -294,16 +292,24 @@ def keep_good(
 ) -> DataFrame:
     """The rows whose text scores at least ``threshold``, with all their columns. See ``score_quality``.
 
-    The score is computed beside the text once more, which costs less than moving texts to a join. Without labels
-    nothing is known and all rows stay.
+    Rows are written once with their statistics beside them, so texts are measured once and never joined. Without labels
+    nothing is known and all rows stay; so do, as in ``score_quality``, null texts that score high enough. Columns may
+    have any names.
     """
-    model, _ = fit_quality(docs, labels, id_col, text_col, FEATURES, RIDGE)
+    (stats,) = unused(docs.columns, "_stats")
+
+    @F.pandas_udf("array<float>")
+    def measure(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.array(statistics(t or "", split_words(t)), np.float32) for t in texts], dtype=object)
+
+    measured = materialise(docs.withColumn(stats, measure(F.col(text_col).cast("string"))), "quality-measured")
+    narrow = measured.select(F.col(id_col).cast("long").alias("id"), F.col(stats).alias("stats"))
+    model = fit_quality(narrow, labels, id_col, FEATURES, RIDGE)
     if model.features is None:
         return docs
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        stats = [statistics(t or "", split_words(t)) for t in texts]
-        return pd.Series(model.score(np.array(stats)) if stats else [], dtype="float64")
+    def score(rows: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array(rows.to_list(), float)) if len(rows) else [], dtype="float64")
 
-    return docs.where(score(F.col(text_col).cast("string")) >= threshold)
+    return measured.where(score(F.col(stats)) >= threshold).drop(stats)

@@ -8,11 +8,20 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-# Entries a worker keeps; beyond it the cache starts anew, which costs time and changes no result.
-CACHE_ENTRIES = 800_000
+# Entries a worker keeps, some 50 to 100 MB; beyond it the cache starts anew, which costs time and changes no result.
+CACHE_ENTRIES = 400_000
+_held: list[dict] = []  # the cache that this worker's latest task uses
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
+def hold(cache: dict) -> None:
+    """Keep this cache and drop the one of an earlier stage: workers live on between stages, and one cache at most with them."""
+    if not _held or _held[0] is not cache:
+        for other in _held:
+            other.clear()
+        _held[:] = [cache]
+
+
 class HashCache(dict):
     """Word (bytes) to its 64-bit hash, computed on first use."""
 
@@ -30,9 +39,22 @@ _cache = HashCache()  # workers live on between tasks
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
+    hold(_cache)
     return _cache.of(words)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores behind it until no column has it; Spark takes letter case for nothing."""
+    taken = {c.lower() for c in columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def split_words(text: str | None) -> list[bytes]:
     """Maximal runs without space, tab, line feed, vertical tab, form feed or carriage return.
 
