@@ -14,14 +14,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from steepgrid.llm.words import CACHE_ENTRIES, batched, rows_of
+from steepgrid.llm.words import CACHE_ENTRIES, batched, hold, rows_of
 from steepgrid.session import materialise
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 WINDOW = 4096
 SHARD_TOKENS = 2_000_000
-QUERY_TERMS = 48
 K1, B = 1.2, 0.75
 JOINED = 500  # words encoded in one call
 MARKS = (".", ",")
@@ -39,6 +38,7 @@ _caches: dict[str, "ChunkIds"] = {}  # one per tokenizer and worker; workers liv
 def chunk_ids(path: str) -> "ChunkIds":
     if path not in _caches:
         _caches[path] = ChunkIds(path)
+    hold(_caches[path])
     return _caches[path]
 
 
@@ -46,7 +46,7 @@ class ChunkIds(dict):
     """Ids of a chunk without blanks. The vocabulary drops white space, so chunks are independent."""
 
     def __init__(self, path: str):
-        super().__init__({"": b""})
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
@@ -54,7 +54,7 @@ class ChunkIds(dict):
     def learn(self, texts: list[list[str]]) -> None:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-            self[""] = b""
+        self[""] = b""
         new = [c for c in set(chain.from_iterable(texts)) if c not in self]
         parts = [(chunk, *_core(chunk)) for chunk in new]
         needed = {x for _, core, mark in parts for x in (core, mark)}
@@ -130,8 +130,8 @@ def pack_shard(docs: list[tuple], idf: np.ndarray, mean_tokens: float, window: i
     """Pieces (document place, start, length, sequence, offset) of one shard's documents.
 
     ``docs`` holds an id array each. Full windows of a long document stand alone; what is left of
-    every document is indexed by BM25 over its ids. The longest unused rest seeds a window, its most
-    weighty terms query the index, and unused neighbours fill the window by falling score; the last
+    every document is indexed by BM25 over its ids. The longest unused rest seeds a window, all its document's
+    terms query the index, and unused neighbours fill the window by falling score; the last
     one is cut and its rest stays in the index. Without a scoring neighbour the next unused document
     in shard order follows. Only the shard's last window can stay open; it is cut into sequences
     whose lengths are powers of two.
@@ -149,10 +149,11 @@ def pack_shard(docs: list[tuple], idf: np.ndarray, mean_tokens: float, window: i
     queries: list[np.ndarray] = []
     for d, ids in enumerate(docs):
         t, tf = np.unique(ids, return_counts=True)
+        t = t.astype(np.int64)
         w = (idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[d] / mean_tokens))).astype(np.float32)
         if left[d]:
             terms.append(t), holders.append(np.full(len(t), d, np.int32)), weights.append(w)
-        queries.append(t[np.argsort(-w, kind="stable")[:QUERY_TERMS]])
+        queries.append(t)
     if not terms:
         return
     term = np.concatenate(terms)
@@ -180,10 +181,11 @@ def pack_shard(docs: list[tuple], idf: np.ndarray, mean_tokens: float, window: i
         if seed is None:  # rests of cut documents
             seed = int(np.argmax(left))
         take(int(seed))
-        score = np.zeros(len(docs), np.float32)
-        for t in queries[seed]:
-            a, b = bounds[t], bounds[t + 1]
-            score[holder[a:b]] += weight[a:b]
+        lists = [slice(a, b) for a, b in zip(bounds[queries[seed]].tolist(), bounds[queries[seed] + 1].tolist()) if a < b]
+        score = np.zeros(len(docs))
+        if lists:
+            found = np.concatenate([holder[own] for own in lists])
+            score = np.bincount(found, np.concatenate([weight[own] for own in lists]), len(docs))
         score[left == 0] = 0
         found = np.flatnonzero(score)
         for d in found[np.argsort(-score[found], kind="stable")]:
@@ -246,7 +248,7 @@ def pack_documents(
     Document frequencies of the vocabulary's ids are counted over all documents (a vector of fixed
     length). Documents are range-partitioned by a two-value min-hash sketch of their ids, then id, into shards of
     about ``shard_tokens`` tokens whatever the corpus size: near texts meet in a shard, and a hot sketch
-    is cut by id over many shards. Each shard holds one BM25 index (see ``pack_shard``).
+    is cut by id, and equal ids by the row's number, over many shards. Each shard holds one BM25 index (see ``pack_shard``).
 
     Returns one row per piece: ``id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
     Null or empty text is one token, ``end_id``. A very long text is cut into whole windows plus a rest.
@@ -259,7 +261,7 @@ def pack_documents(
     tokens = materialise(
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
             _tokenise(tokenizer, end_id), "id long, n long, ids binary, sketch long"
-        ),
+        ).withColumn("row", F.monotonically_increasing_id()),
         "token-ids",
     )
     size = tokens.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
@@ -275,7 +277,7 @@ def pack_documents(
     idf = spark.sparkContext.broadcast(np.log1p((size["rows"] - df + 0.5) / (df + 0.5)).astype(np.float32))
     shards = max(1, -(-size["tokens"] // shard_tokens))
     mean = size["tokens"] / max(1, size["rows"])
-    pieces = tokens.repartitionByRange(shards, "sketch", F.col("id").asc_nulls_first()).mapInArrow(
+    pieces = tokens.repartitionByRange(shards, "sketch", F.col("id").asc_nulls_first(), "row").mapInArrow(
         _pack(idf, mean, window, kind),
         "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
     )
