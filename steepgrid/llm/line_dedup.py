@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from steepgrid.llm.linking import probably_in
+from steepgrid.llm.words import unused
 from steepgrid.session import materialise
 
 MIN_WORDS = 6  # of lines that can be near copies
@@ -72,7 +73,8 @@ def drop_near_lines(
        them, not with all. A variant equal to a whole line is an inserted word. Pairs are verified word by word.
     4. Occurrences to drop are gathered per document and its text is put together from the other lines.
 
-    Returns all columns of ``docs`` with the new text, then ``n_lines`` and ``n_removed``. Null text stays null with 0
+    Returns all columns of ``docs`` with the new text, then ``n_lines`` and ``n_removed``, which take the place of columns
+    of these names; other columns may have any name. Null text stays null with 0
     lines; a text that loses all lines becomes empty. Null ids come last in the order. Rows that repeat both id
     and text are one document and get the same result. An empty table gives an empty result.
     """
@@ -182,25 +184,27 @@ def drop_near_lines(
     again = materialise(
         again.select(F.col("_hash").alias("_h"), "_first", F.col("late").isNotNull().alias("_near")), "repeated-lines"
     )
+    of, places = unused([*columns, "n_lines", "n_removed"], "_of", "_gone")
     gone = (
         probably_in(found.select("_doc", "_id", "_no", "_hash"), "_hash", again.select("_h"))
         .join(again, F.col("_hash") == F.col("_h"))
         .where(F.col("_near") | (F.col("_first") != F.struct("_id", "_no")))
-        .groupBy(F.col("_doc").alias("_of"))
-        .agg(F.collect_set("_no").alias("_gone"))
+        .groupBy(F.col("_doc").alias(of))
+        .agg(F.collect_set("_no").alias(places))
     )
     none = F.array().cast("array<int>")
-    parts = F.split(F.col(text_col), "\n")
+    parts = F.split(docs[text_col], "\n")
     count = F.coalesce(F.size(parts), F.lit(0))
-    keep = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.coalesce("_gone", none))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(
+    keep = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.coalesce(places, none))
+    text = F.when(F.col(places).isNull(), docs[text_col]).otherwise(
         F.array_join(F.transform(keep, lambda i: F.get(parts, i)), "\n")
     )
+    kept = [c for c in columns if c.lower() not in ("n_lines", "n_removed")]
     return (
-        docs.join(materialise(gone, "dropped-places"), own == F.col("_of"), "left")
+        docs.join(materialise(gone, "dropped-places"), own == F.col(of), "left")
         .select(
-            *[text.alias(c) if c == text_col else docs[c] for c in columns],
-            F.when(F.col(text_col).isNull(), 0).otherwise(count).alias("n_lines"),
-            F.size(F.coalesce("_gone", none)).alias("n_removed"),
+            *[text.alias(c) if c == text_col else docs[c] for c in kept],
+            F.when(docs[text_col].isNull(), 0).otherwise(count).alias("n_lines"),
+            F.size(F.coalesce(places, none)).alias("n_removed"),
         )
     )

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from steepgrid.llm.linking import components, probably_in
-from steepgrid.llm.words import batched, hashed_texts, mixed, rows_of, window_hashes
+from steepgrid.llm.words import batched, hashed_texts, mixed, rows_of, unused, window_hashes
 from steepgrid.session import materialise
 
 WIDTH = 5
@@ -476,8 +476,9 @@ def keep_one_of_each(
     """
     joined = join_by_shingles(docs, id_col, text_col, width, percent)
     kept = joined.where((F.col("n_shingles") == 0) | (F.col("component_id") == F.col(id_col)))
-    kept = kept.groupBy(F.col(id_col).alias("_kept")).agg(F.min("n_shingles").alias("_least"))
-    rows = docs.join(materialise(kept, "kept-documents"), F.col(id_col).cast("long") == F.col("_kept"))
-    place = F.row_number().over(Window.partitionBy("_kept").orderBy(F.xxhash64(text_col), text_col))
-    one = rows.withColumn("_place", place).where((F.col("_place") == 1) | (F.col("_least") == 0))
+    same, least, at = unused(docs.columns, "_kept", "_least", "_place")
+    kept = kept.groupBy(F.col(id_col).alias(same)).agg(F.min("n_shingles").alias(least))
+    rows = docs.join(materialise(kept, "kept-documents"), docs[id_col].cast("long") == F.col(same))
+    place = F.row_number().over(Window.partitionBy(same).orderBy(F.xxhash64(text_col), text_col))
+    one = rows.withColumn(at, place).where((F.col(at) == 1) | (F.col(least) == 0))
     return one.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
