@@ -64,6 +64,37 @@ def feature_lists(
     return sets.select(*group, count_alias, F.concat(*names).alias(alias))
 
 
+def encode(
+    df: DataFrame,
+    lists: DataFrame,
+    group: Sequence[str],
+    categories: Mapping[str, str],
+    base: Sequence[str] = BASE_FEATURES,
+    names: str = "feature_names",
+    alias: str = "features",
+    ones: str = "ones",
+) -> DataFrame:
+    """Add the row's numbers, and for each category the place of its name in the group's stored list.
+
+    ``alias`` holds the numeric features and ``ones`` one entry per category: the place of ``prefix_value`` in the list,
+    -1 where the value is unknown to the group or NULL. Places are found by a join on (group, name), so a
+    row costs the same however long the list is, and the list is nobody's array. Rows of groups without a list drop out.
+    """
+    places = lists.select(*group, F.posexplode(names).alias("_place", "_name")).where(F.col("_place") >= len(base))
+    out = df.join(lists.select(*group), list(group), "inner")
+    for i, (column, prefix) in enumerate(categories.items()):
+        own = places.where(F.col("_name").startswith(f"{prefix}_")).select(
+            *group, F.col("_name").alias(f"_n{i}"), F.col("_place").alias(f"_p{i}")
+        )
+        named = out.withColumn(f"_n{i}", F.concat(F.lit(f"{prefix}_"), column))
+        out = named.join(own, [*group, f"_n{i}"], "left").drop(f"_n{i}")
+    found = [F.coalesce(F.col(f"_p{i}"), F.lit(-1)) for i in range(len(categories))]
+    numbers = F.array(*[F.col(b).cast("double") for b in base])
+    return out.withColumns({alias: numbers, ones: F.array(*found).cast("array<int>")}).drop(
+        *[f"_p{i}" for i in range(len(categories))]
+    )
+
+
 def align(
     df: DataFrame,
     lists: DataFrame,
@@ -76,7 +107,7 @@ def align(
 ) -> DataFrame:
     """Add the row's values in the order of its group's stored list: absent names 0, unknown values dropped.
 
-    A stored list holds the numeric names first, then the trained names of each category in turn.
+    This is the dense form, as long as the list; models take ``encode``. A stored list holds the numeric names first, then the trained names of each category in turn.
     """
     parts = {
         f"_names_{c}": F.filter(names, _starts_with(f"{prefix}_")) for c, prefix in categories.items()

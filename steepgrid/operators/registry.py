@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from steepgrid.functions.columns import default_days, fill_weather, parse_day, date_parts, safe_key
 from steepgrid.functions.scores import BATCH_CONFIDENCE, LOADED_MODEL_CONFIDENCE, saved_confidence
 from steepgrid.operators.changes import upsert
-from steepgrid.operators.features import align
+from steepgrid.operators.features import encode
 from steepgrid.operators.forest import Forest, predict
 from steepgrid.schemas import BASE_FEATURES, TARGETS
 from steepgrid.sources.tables import latest_version, read_latest, read_version, write_version
@@ -120,8 +120,8 @@ def _score(
     confidence: Column,
 ) -> DataFrame:
     """Every request with its prediction; a bean without a model gets status no_model and NULLs."""
-    aligned = align(request_features(requests), registry, ["bean_name"], categories)
-    predictions = predict(aligned, forest, [key], prefix="").drop("bean_name")
+    encoded = encode(request_features(requests), registry, ["bean_name"], categories)
+    predictions = predict(encoded, forest, [key], prefix="", ones="ones").drop("bean_name")
     known = registry.select("bean_name", "sample_count", F.lit("ok").alias("_status"))
     joined = requests.join(known, "bean_name", "left").join(predictions, key, "left")
     return joined.withColumn("status", F.coalesce("_status", F.lit("no_model"))).withColumn(

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from steepgrid.functions.scores import confidence, fallback_confidence
-from steepgrid.operators.features import MIN_TRAINING_ROWS, align, base_features, feature_lists
+from steepgrid.operators.features import MIN_TRAINING_ROWS, base_features, encode, feature_lists
 from steepgrid.operators.forest import Forest, ForestSpec, fit_forest, predict
 from steepgrid.operators.metrics import fold_stats, r2, tolerance_accuracy
 from steepgrid.operators.ranks import number_rows
@@ -38,8 +38,8 @@ def train(
     """
     rows = base_features(brews)
     lists = materialise(gated_lists(rows, group, categories), "lists")
-    aligned = align(rows, lists, [group], categories).select(group, *key, *targets, "features")
-    return fit_forest(materialise(aligned, "aligned"), [group], targets, key, spec), lists
+    encoded = encode(rows, lists, [group], categories).select(group, *key, *targets, "features", "ones")
+    return fit_forest(materialise(encoded, "encoded"), [group], targets, key, spec, ones="ones"), lists
 
 
 def gated_lists(rows: DataFrame, group: str, categories: Mapping[str, str]) -> DataFrame:
@@ -58,10 +58,10 @@ def confidence_parts(
 ) -> DataFrame:
     """One row per bean with its accuracies and confidence.
 
-    ``rows`` carries features, targets, the fold of a training row, NULL for a test row, and group_size.
+    ``rows`` carries encoded features, targets, the fold of a training row, NULL for a test row, and group_size.
     """
     training = rows.where(F.col("fold").isNotNull())
-    fitted = fit_forest(training, [group], targets, key, spec, folds=folds, fold="fold")
+    fitted = fit_forest(training, [group], targets, key, spec, folds=folds, fold="fold", ones="ones")
     # Test rows and the training R² use the full model; each row also meets the model that did not see its fold.
     roles = F.when(F.col("fold").isNull(), F.array(F.struct(F.lit(0).alias("variant"), F.lit("test").alias("role")))).otherwise(
         F.array(
@@ -71,7 +71,7 @@ def confidence_parts(
     )
     asked = rows.withColumn("_role", F.explode(roles)).select("*", "_role.*").drop("_role")
     scored = materialise(
-        predict(asked, fitted, [*key, "role", "fold", *targets], spread="spread_"), "scored"
+        predict(asked, fitted, [*key, "role", "fold", *targets], spread="spread_", ones="ones"), "scored"
     )
     pairs = {t: f"predicted_{t}" for t in targets}
     spread = sum((F.col(f"spread_{t}") for t in targets), F.lit(0.0)) / F.lit(float(len(targets)))
@@ -117,9 +117,9 @@ def evaluate(
     """
     based = base_features(brews)
     lists = materialise(feature_lists(based, [group], categories), "lists")
-    aligned = align(based, lists, [group], categories)
+    encoded = encode(based, lists, [group], categories)
     text = F.concat(F.concat_ws("|", *[F.col(k).cast("string") for k in key]), F.lit(f":{seed}"))
-    needed = aligned.select(group, *key, *targets, "features", F.md5(text).alias("_digest"))
+    needed = encoded.select(group, *key, *targets, "features", "ones", F.md5(text).alias("_digest"))
     numbered = number_rows(needed, [group], ["_digest", *key], "_rn", "group_size")
     rows = materialise(with_folds(numbered, frac, folds).drop("_digest", "_rn"), "split")
     parts = confidence_parts(rows, group, key, targets, spec, folds, tolerances)
@@ -159,11 +159,11 @@ def trained_confidence(
     """Confidence of freshly trained models: all rows train, folds follow the stored order."""
     based = base_features(brews)
     lists = materialise(gated_lists(based, group, categories), "lists")
-    aligned = align(based, lists, [group], categories).select(
-        group, *dict.fromkeys([*key, *order, *targets]), "features"
+    encoded = encode(based, lists, [group], categories).select(
+        group, *dict.fromkeys([*key, *order, *targets]), "features", "ones"
     )
     rows = materialise(
-        assign_folds(aligned, [group], order, folds).withColumn("group_size", F.lit(0)), "folds"
+        assign_folds(encoded, [group], order, folds).withColumn("group_size", F.lit(0)), "folds"
     )
     parts = confidence_parts(rows, group, key, targets, spec, folds, dict.fromkeys(targets, 0.0))
     return parts.select(group, "sample_count", "confidence")

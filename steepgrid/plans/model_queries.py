@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from steepgrid.functions import scores
 from steepgrid.operators import counts, features, forest, metrics, ranks, registry, splits
-from steepgrid.plans import evaluation
+from steepgrid.plans import evaluation, forest_sql
 from steepgrid.plans.catalog import query, table
 from steepgrid.schemas import BASE_FEATURES, TARGETS
 from steepgrid.session import materialise, scratch_dir
@@ -397,8 +397,11 @@ def _forest_sql(spec: forest.ForestSpec) -> str:
 
 
 def _small_forest(spark, sf) -> tuple[forest.Forest, DataFrame]:
-    aligned = materialise(_aligned(spark, sf).select("bean_name", *KEY, *TARGETS, "features"), "aligned")
-    return forest.fit_forest(aligned, ["bean_name"], TARGETS, KEY, SMALL), aligned
+    rows = brews(spark, sf)
+    lists = materialise(features.feature_lists(rows, ["bean_name"], evaluation.WITH_ORIGIN), "lists")
+    encoded = features.encode(features.base_features(rows), lists, ["bean_name"], evaluation.WITH_ORIGIN)
+    encoded = materialise(encoded.select("bean_name", *KEY, *TARGETS, "features", "ones"), "encoded")
+    return forest.fit_forest(encoded, ["bean_name"], TARGETS, KEY, SMALL, ones="ones"), encoded
 
 
 @query(
@@ -452,8 +455,8 @@ def _walk_sql(spec: forest.ForestSpec) -> str:
     """
 )
 def forest_predictions(spark, sf):
-    fitted, aligned = _small_forest(spark, sf)
-    scored = forest.predict(aligned, fitted, KEY, prefix="")
+    fitted, encoded = _small_forest(spark, sf)
+    scored = forest.predict(encoded, fitted, KEY, prefix="", ones="ones")
     return scored.select(
         "bean_name", *KEY, F.round("mesh", 4).alias("mesh"), F.round("gram", 6).alias("gram"),
         F.round("extraction_time", 2).alias("extraction_time"),
@@ -482,58 +485,13 @@ def feature_importance(spark, sf):
 DEEP = forest.ForestSpec(trees=2, max_depth=6)
 
 
-def _exact_forest_sql(spec: forest.ForestSpec) -> str:
-    """The forest on weather features in SQL, every cut half-way between neighbouring values of a node.
-
-    Sums are taken about the node's mean, so that both engines round the shares alike.
-    """
-    trees = ", ".join(f"({t}, {a}, {b})" for t, a, b in forest.tree_constants(spec.trees, spec.seed))
-    draw = f"((h * a + b) % {forest.PRIME})"
-    weight = " + ".join(f"CASE WHEN {draw} >= {cut} THEN 1 ELSE 0 END" for cut in forest.weight_cuts())
-    targets = {"mesh": 0, "gram": 1, "extraction_time": 2}
-    node = "bean_name, tree, node"
-    parts = [
-        VALUES_SQL,
-        f"""gated AS (SELECT bean_name FROM brews GROUP BY bean_name HAVING COUNT(*) >= 10),
-        cells AS MATERIALIZED (SELECT bean_name, {KEY_SQL}, feature, x FROM long JOIN names USING (bean_name, feature)
-            WHERE name NOT LIKE 'origin%'),
-        hashed AS (SELECT bean_name, {KEY_SQL}, mesh, gram, extraction_time,
-                     CAST('0x' || substr(md5(concat_ws('|', {KEY_SQL})), 1, 8) AS BIGINT) % {forest.PRIME} AS h
-                   FROM brews JOIN gated USING (bean_name)),
-        trees(tree, a, b) AS (VALUES {trees}),
-        pairs0 AS MATERIALIZED (SELECT * EXCLUDE (h, a, b), 1::BIGINT AS node, {weight} AS w FROM hashed CROSS JOIN trees
-                   WHERE {weight} > 0)""",
-    ]
-    for d in range(spec.max_depth):
-        means = ", ".join(f"SUM(w * {t}) / SUM(w) AS m{i}" for t, i in targets.items())
-        mixed = " OR ".join(f"MAX({t}) > MIN({t})" for t in targets)
-        square = " + ".join(f"({t} - m{i}) * ({t} - m{i})" for t, i in targets.items())
-        sums = ", ".join(f"SUM(w * ({t} - m{i})) AS c{i}" for t, i in targets.items())
-        upto = ", ".join(f"SUM(c{i}) OVER u AS l{i}" for i in targets.values())
-        drop = f"({' + '.join(f'l{i} * l{i}' for i in targets.values())}) * n / (ln * (n - ln))"
-        parts.append(
-            f"""stats{d} AS MATERIALIZED (SELECT {node}, SUM(w) AS n, {means}, ({mixed}) AS mixed FROM pairs{d} GROUP BY ALL),
-            errors{d} AS (SELECT {node}, SUM(w * ({square})) AS err FROM pairs{d} JOIN stats{d} USING ({node}) GROUP BY ALL),
-            hist{d} AS (SELECT {node}, feature, x, SUM(w) AS w, {sums} FROM pairs{d} JOIN stats{d} USING ({node})
-                JOIN cells USING (bean_name, {KEY_SQL}) WHERE mixed AND n >= {spec.min_split} GROUP BY {node}, feature, x),
-            upto{d} AS (SELECT {node}, feature, x, LEAD(x) OVER u AS above, SUM(w) OVER u AS ln, {upto} FROM hist{d}
-                WINDOW u AS (PARTITION BY {node}, feature ORDER BY x)),
-            splits{d} AS MATERIALIZED (SELECT *, CASE WHEN x + (above - x) / 2 < above THEN x + (above - x) / 2 ELSE x END AS threshold
-                FROM (SELECT *, {drop} AS gain, ROUND(({drop}) / err, 9) AS share
-                      FROM upto{d} JOIN stats{d} USING ({node}) JOIN errors{d} USING ({node}) WHERE above IS NOT NULL AND err > 0)
-                WHERE share > 0 QUALIFY row_number() OVER (PARTITION BY {node} ORDER BY share DESC, feature, x) = 1),
-            pairs{d + 1} AS MATERIALIZED (SELECT p.* REPLACE (p.node * 2 + CASE WHEN c.x > s.threshold THEN 1 ELSE 0 END AS node)
-                FROM pairs{d} p JOIN splits{d} s USING ({node}) JOIN cells c USING (bean_name, {KEY_SQL}, feature))"""
-        )
-    last = spec.max_depth
-    means = ", ".join(f"SUM(w * {t}) / SUM(w) AS m{i}" for t, i in targets.items())
-    parts.append(f"stats{last} AS MATERIALIZED (SELECT {node}, SUM(w) AS n, {means} FROM pairs{last} GROUP BY ALL)")
-    return ",\n".join(parts)
+GATED_SQL = """SELECT *, 1 AS fold FROM brews
+    WHERE bean_name IN (SELECT bean_name FROM brews GROUP BY bean_name HAVING COUNT(*) >= 10)"""
 
 
 @query(
     f"""
-    WITH {_exact_forest_sql(DEEP)}
+    WITH {forest_sql.grown(DEEP, VALUES_SQL, GATED_SQL, KEY)}
     {" UNION ALL ".join(
         f"SELECT s.bean_name, CAST(s.tree AS INTEGER) AS tree, {d} AS level, s.node, CAST(s.feature AS INTEGER) AS feature, "
         f"ROUND(s.threshold, 6) AS threshold, CAST(s.n AS BIGINT) AS n, CAST(s.ln AS BIGINT) AS left_n, "
@@ -576,51 +534,49 @@ def _stored(spark, sf, categories, spec=EVALUATION):
     return registry.load_model(spark, base, registry=known), known
 
 
-@query()
-def forest_train_score(spark, sf):
-    """A hundred shallow trees per bean on all rows, then every order's request scored by the fresh models."""
-    fitted, lists = evaluation.train(brews(spark, sf), KEY, spec=FULL)
-    asked = features.align(
-        registry.request_features(_requests(spark, sf)), lists, ["bean_name"], evaluation.WEATHER_ONLY
-    )
-    return forest.predict(asked, fitted, ["request_id"], prefix="")
-
-
-def _scored_sql(spec: forest.ForestSpec) -> str:
+def _scored_sql(spec: forest.ForestSpec, origins: bool = False) -> str:
     """Every order's request through every tree of its bean."""
-    parts = [
-        _exact_forest_sql(spec),
-        """asked AS (SELECT o_orderkey AS request_id, 'Brand#' || day(o_orderdate) AS bean_name,
+    known = "" if origins else "WHERE name NOT LIKE 'origin%'"
+    return ",\n".join(
+        [
+            forest_sql.grown(spec, VALUES_SQL, GATED_SQL, KEY, origins=origins),
+            f"""asked AS (SELECT o_orderkey AS request_id, 'Brand#' || day(o_orderdate) AS bean_name, 0 AS variant,
               CASE WHEN o_orderpriority = '1-URGENT' THEN 'ECONOMY' ELSE 'UNKNOWN' END AS bean_origin,
               strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderstatus AS weather,
               CASE WHEN o_orderpriority <> '2-HIGH' THEN 0.04::DOUBLE END AS temperature,
               CASE WHEN o_orderpriority <> '3-MEDIUM' THEN 3.0::DOUBLE END AS humidity, CAST(NULL AS DOUBLE) AS days_passed,
               CAST(o_orderdate AS DATE) AS d FROM orders),
-        asked_values AS (SELECT request_id, feature, CAST(CASE name WHEN 'temperature' THEN COALESCE(temperature, 20.0)
+            asked_values AS (SELECT request_id, feature, CAST(CASE name WHEN 'temperature' THEN COALESCE(temperature, 20.0)
               WHEN 'humidity' THEN COALESCE(humidity, 60.0) WHEN 'days_passed' THEN 15.0 WHEN 'year' THEN year(d)
               WHEN 'month' THEN month(d) WHEN 'day' THEN day(d) WHEN 'day_of_week' THEN isodow(d) - 1
-              ELSE CASE WHEN name = 'weather_' || weather THEN 1 ELSE 0 END END AS DOUBLE) AS x
-            FROM asked JOIN names USING (bean_name) WHERE name NOT LIKE 'origin%'),
-        walk0 AS (SELECT request_id, bean_name, tree, node, m0, m1, m2, FALSE AS done
-            FROM asked JOIN stats0 USING (bean_name))""",
-    ]
-    for d in range(spec.max_depth):
-        parts.append(
-            f"""moved{d} AS (SELECT request_id, w.bean_name, w.tree, w.node AS old, w.m0 AS o0, w.m1 AS o1, w.m2 AS o2,
-                w.done OR s.node IS NULL AS done, w.node * 2 + CASE WHEN v.x > s.threshold THEN 1 ELSE 0 END AS node
-                FROM walk{d} w LEFT JOIN splits{d} s ON NOT w.done AND w.bean_name = s.bean_name AND w.tree = s.tree AND w.node = s.node
-                LEFT JOIN asked_values v USING (request_id, feature)),
-            walk{d + 1} AS (SELECT request_id, m.bean_name, m.tree, CASE WHEN done THEN old ELSE m.node END AS node,
-                CASE WHEN done THEN o0 ELSE m0 END AS m0, CASE WHEN done THEN o1 ELSE m1 END AS m1,
-                CASE WHEN done THEN o2 ELSE m2 END AS m2, done
-                FROM moved{d} m LEFT JOIN stats{d + 1} s ON NOT done AND m.bean_name = s.bean_name AND m.tree = s.tree AND m.node = s.node)"""
-        )
-    parts.append(
-        f"""scored AS (SELECT request_id, ROUND(AVG(m0), 6) AS mesh, ROUND(AVG(m1), 6) AS gram, ROUND(AVG(m2), 4) AS extraction_time
-            FROM walk{spec.max_depth} GROUP BY request_id),
-        sampled AS (SELECT bean_name, COUNT(*) AS sample_count FROM brews GROUP BY bean_name HAVING COUNT(*) >= 10)"""
+              ELSE CASE WHEN name IN ('weather_' || weather, 'origin_' || bean_origin) THEN 1 ELSE 0 END END AS DOUBLE) AS x
+            FROM asked JOIN names USING (bean_name) {known})""",
+            forest_sql.walked(spec, "asked", ["request_id"], "asked_values", ["request_id"]),
+            """rounded AS (SELECT request_id, bean_name, ROUND(p0, 6) AS mesh, ROUND(p1, 6) AS gram, ROUND(p2, 4) AS extraction_time
+               FROM scored),
+            sampled AS (SELECT bean_name, COUNT(*) AS sample_count FROM training GROUP BY bean_name)""",
+        ]
+    )
+
+
+def _answers_sql(confidence: str) -> str:
+    return f"""SELECT request_id, a.bean_name, bean_origin, date, weather, temperature, humidity, days_passed, mesh, gram, extraction_time,
+           CASE WHEN sample_count IS NULL THEN 'no_model' ELSE 'ok' END AS status,
+           CASE WHEN sample_count IS NOT NULL THEN ROUND(({confidence})::DOUBLE, 6) END AS confidence
+        FROM asked a LEFT JOIN rounded USING (request_id) LEFT JOIN sampled ON sampled.bean_name = a.bean_name"""
+
+
+@query(f"WITH {_scored_sql(FULL)} SELECT * FROM rounded")
+def forest_train_score(spark, sf):
+    """A hundred shallow trees per bean on all rows, then every order's request scored by the fresh models."""
+    fitted, lists = evaluation.train(brews(spark, sf), KEY, spec=FULL)
+    asked = features.encode(
+        registry.request_features(_requests(spark, sf)), lists, ["bean_name"], evaluation.WEATHER_ONLY
+    )
+    predicted = forest.predict(asked, fitted, ["request_id"], prefix="", ones="ones")
+    return predicted.withColumns(
+        {"mesh": F.round("mesh", 6), "gram": F.round("gram", 6), "extraction_time": F.round("extraction_time", 4)}
     )
-    return ",\n".join(parts)
 
 
 def _rounded_scores(scored: DataFrame) -> DataFrame:
@@ -637,10 +593,7 @@ def _rounded_scores(scored: DataFrame) -> DataFrame:
 @query(
     f"""
     WITH {_scored_sql(EVALUATION)}
-    SELECT request_id, bean_name, bean_origin, date, weather, temperature, humidity, days_passed, mesh, gram, extraction_time,
-           CASE WHEN sample_count IS NULL THEN 'no_model' ELSE 'ok' END AS status,
-           CASE WHEN sample_count IS NOT NULL THEN ROUND(LEAST(0.95::DOUBLE, 0.7::DOUBLE + sample_count / 100.0::DOUBLE * 0.2::DOUBLE), 6) END AS confidence
-    FROM asked LEFT JOIN scored USING (request_id) LEFT JOIN sampled USING (bean_name)
+    {_answers_sql("LEAST(0.95::DOUBLE, 0.7::DOUBLE + sample_count / 100.0::DOUBLE * 0.2::DOUBLE)")}
     """
 )
 def score_saved_models(spark, sf):
@@ -648,16 +601,16 @@ def score_saved_models(spark, sf):
     return _rounded_scores(registry.score_saved(_requests(spark, sf), fitted, rows))
 
 
-@query()
+@query(f"WITH {_scored_sql(EVALUATION, origins=True)} {_answers_sql(str(scores.LOADED_MODEL_CONFIDENCE))}")
 def score_registry_models(spark, sf):
     fitted, rows = _stored(spark, sf, evaluation.WITH_ORIGIN)
-    return registry.score_registry(_requests(spark, sf), fitted, rows)
+    return _rounded_scores(registry.score_registry(_requests(spark, sf), fitted, rows))
 
 
-@query()
+@query(f"WITH {_scored_sql(EVALUATION, origins=True)} {_answers_sql(str(scores.BATCH_CONFIDENCE))}")
 def score_batch(spark, sf):
     fitted, rows = _stored(spark, sf, evaluation.WITH_ORIGIN)
-    return registry.score_batch(_requests(spark, sf), fitted, rows)
+    return _rounded_scores(registry.score_batch(_requests(spark, sf), fitted, rows))
 
 
 REGISTRY_SQL = f"""
@@ -713,11 +666,53 @@ def model_status(spark, sf):
     return registry.model_status(_registry(spark, sf))
 
 
-@query()
+HOLDOUT_SQL = f"""
+    SELECT * REPLACE (CASE WHEN fold > 0 THEN fold END AS fold) FROM (
+        SELECT bean_name, {KEY_SQL}, mesh, gram, extraction_time, 0 AS fold FROM numbered WHERE rn <= ceil(0.1::DOUBLE * size)
+        UNION ALL SELECT bean_name, {KEY_SQL}, mesh, gram, extraction_time,
+            ntile(3) OVER (PARTITION BY bean_name ORDER BY rn) FROM numbered WHERE rn > ceil(0.1::DOUBLE * size))
+"""
+NUMBERED_SQL = f"""
+    {VALUES_SQL},
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY bean_name ORDER BY {DIGEST_SQL}, {KEY_SQL}) AS rn,
+        COUNT(*) OVER (PARTITION BY bean_name) AS size FROM brews)
+"""
+HITS_SQL = {t: f"CASE WHEN abs(p{i} - {t}) <= {TOLERANCES[t]}::DOUBLE THEN 1 ELSE 0 END" for i, t in enumerate(TARGETS)}
+
+
+@query(
+    f"""
+    WITH {forest_sql.evaluated(EVALUATION, NUMBERED_SQL, HOLDOUT_SQL, KEY)},
+    accurate AS (SELECT bean_name, COUNT(*) AS eval_sample_count,
+        {", ".join(f"ROUND(AVG({hit}), 6) AS acc_{t}" for t, hit in HITS_SQL.items())},
+        ROUND(AVG({" * ".join(HITS_SQL.values())}), 6) AS acc_overall
+        FROM outcome WHERE role = 'test' GROUP BY bean_name),
+    counted AS (SELECT bean_name, CAST(COUNT(*) AS INTEGER) AS feature_count FROM names WHERE name NOT LIKE 'origin%' GROUP BY bean_name)
+    SELECT bean_name, sample_count, eval_sample_count, confidence, feature_count,
+        {", ".join(f"{TOLERANCES[t]}::DOUBLE AS tolerance_{t}" for t in TARGETS)},
+        {", ".join(f"acc_{t}" for t in TARGETS)}, acc_overall
+    FROM confident JOIN accurate USING (bean_name) JOIN counted USING (bean_name)
+    """
+)
 def evaluation_report(spark, sf):
-    return evaluation.evaluate(brews(spark, sf), KEY, tolerances=TOLERANCES, spec=EVALUATION)
+    """The report's nested columns laid out flat."""
+    report = evaluation.evaluate(brews(spark, sf), KEY, tolerances=TOLERANCES, spec=EVALUATION)
+    return _rounded(
+        report.select(
+            "bean_name", "sample_count", "eval_sample_count", "confidence", "feature_count",
+            *[F.col(f"tolerance_accuracy.tolerance.{t}").alias(f"tolerance_{t}") for t in TARGETS],
+            *[F.col(f"tolerance_accuracy.per_target.{t}").alias(f"acc_{t}") for t in TARGETS],
+            F.col("tolerance_accuracy.overall").alias("acc_overall"),
+        )
+    )
+
+
+FOLDS_SQL = f"""
+    SELECT bean_name, {KEY_SQL}, mesh, gram, extraction_time, ntile(3) OVER (PARTITION BY bean_name ORDER BY {KEY_SQL}) AS fold
+    FROM brews WHERE bean_name IN (SELECT bean_name FROM brews GROUP BY bean_name HAVING COUNT(*) >= 10)
+"""
 
 
-@query()
+@query(f"WITH {forest_sql.evaluated(EVALUATION, VALUES_SQL, FOLDS_SQL, KEY)} SELECT * FROM confident")
 def trained_confidence(spark, sf):
-    return evaluation.trained_confidence(brews(spark, sf), KEY, KEY, spec=EVALUATION)
+    return _rounded(evaluation.trained_confidence(brews(spark, sf), KEY, KEY, spec=EVALUATION))
