@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 SCRATCH_KEY = "spark.checkpoint.dir"
 
 _local_scratch: dict[str, str] = {}
+_scope: list[str] = []  # folders, below the scratch folder, that tables written now go to
 
 
 def get_spark(app: str = "steepgrid", master: str | None = None, **conf: str) -> SparkSession:
@@ -49,12 +52,23 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     Spark's own size check rather than by a hint.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = "/".join([scratch_dir(spark), *_scope, f"{label}-{uuid.uuid4().hex}"])
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete this application's intermediate tables, once no frame that reads them is needed."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+@contextmanager
+def scratch_scope(name: str) -> Iterator[None]:
+    """Intermediate tables written inside go to a folder of their own, which ``drop_scratch`` can delete alone."""
+    _scope.append(name)
+    try:
+        yield
+    finally:
+        _scope.pop()
+
+
+def drop_scratch(spark: SparkSession, scope: str | None = None) -> None:
+    """Delete this application's intermediate tables, or those of one scope, once no frame that reads them is needed."""
+    folder = scratch_dir(spark) if scope is None else f"{scratch_dir(spark)}/{scope}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
