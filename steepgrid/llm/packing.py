@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from steepgrid.llm.words import CACHE_ENTRIES, batched, hold, rows_of
+from steepgrid.llm.words import batched, hold, rows_of
 from steepgrid.session import materialise
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,7 @@ WINDOW = 4096
 SHARD_TOKENS = 2_000_000
 K1, B = 1.2, 0.75
 JOINED = 500  # words encoded in one call
+CHUNKS = 800_000  # a worker keeps the ids of; beyond it the cache starts anew
 MARKS = (".", ",")
 
 _TOKEN_ROWS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("sketch", pa.int64())])
@@ -52,7 +53,7 @@ class ChunkIds(dict):
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
     def learn(self, texts: list[list[str]]) -> None:
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= CHUNKS:
             self.clear()
         self[""] = b""
         new = [c for c in set(chain.from_iterable(texts)) if c not in self]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from steepgrid.llm.text_stats import base_counts
-from steepgrid.llm.words import batched, rows_of, split_words, unused
+from steepgrid.llm.words import batched, forget_words, rows_of, split_words, unused
 from steepgrid.session import materialise
 
 FEATURES = 256
@@ -66,6 +66,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield key, statistics(text, split_words(text))
 
     yield from batched(rows(), _ROWS)
+    forget_words()
 
 
 class Features:
@@ -299,8 +300,10 @@ def keep_good(
     (stats,) = unused(docs.columns, "_stats")
 
     @F.pandas_udf("array<float>")
-    def measure(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.array(statistics(t or "", split_words(t)), np.float32) for t in texts], dtype=object)
+    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.array(statistics(t or "", split_words(t)), np.float32) for t in texts], dtype=object)
+        forget_words()
 
     measured = materialise(docs.withColumn(stats, measure(F.col(text_col).cast("string"))), "quality-measured")
     narrow = measured.select(F.col(id_col).cast("long").alias("id"), F.col(stats).alias("stats"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from steepgrid.llm.text_stats import base_counts
-from steepgrid.llm.words import batched, rows_of, split_words
+from steepgrid.llm.words import batched, forget_words, rows_of, split_words
 from steepgrid.session import materialise
 
 MIN_WORDS = 50
@@ -69,6 +69,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield (key, stratum, counts[0], counts[1], counts[2], counts[4], counts[5], *loose)
 
     yield from batched(rows(), _ROWS)
+    forget_words()
 
 
 def binomial_upper_holds(rejected: int, total: int, risk: float, error: float) -> bool:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ import xxhash
 # Entries a worker keeps, some 50 to 100 MB; beyond it the cache starts anew, which costs time and changes no result.
 CACHE_ENTRIES = 400_000
 _held: list[dict] = []  # the cache that this worker's latest task uses
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library on Linux
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -22,6 +24,15 @@ def hold(cache: dict) -> None:
         _held[:] = [cache]
 
 
+def settle(*caches: dict) -> None:
+    """At a task's end: empty these caches and give free memory back, as the worker stays while other stages run."""
+    for cache in caches:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 class HashCache(dict):
     """Word (bytes) to its 64-bit hash, computed on first use."""
 
@@ -39,10 +50,14 @@ _cache = HashCache()  # workers live on between tasks
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    hold(_cache)
     return _cache.of(words)
 
 
+def forget_words() -> None:
+    """``settle`` for tasks that use ``word_hashes``; hashing a word anew costs little."""
+    settle(_cache)
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """The names, each with underscores behind it until no column has it; Spark takes letter case for nothing."""
     taken = {c.lower() for c in columns}
@@ -177,6 +192,7 @@ def batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 2048) -> Itera
             held = []
     if held:
         yield _batch(held, schema)
+    settle()
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

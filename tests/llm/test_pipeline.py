@@ -53,3 +53,21 @@ def test_run_packs_what_the_stages_leave(spark, folder):
     total = pieces.selectExpr("sum(length) as n", "max(offset + length) as m").first()
     assert total["n"] > 0 and total["m"] <= packing.WINDOW
     assert [name for name, _ in corpus_pipeline.STAGES][0] == "quality classifier" and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_a_stage_deletes_what_earlier_ones_have_left(spark, folder, tmp_path):
+    import os
+
+    from steepgrid.session import scratch_dir
+
+    def left():
+        return {name for name in os.listdir(scratch_dir(spark)) if name.startswith(corpus_pipeline.SCOPE)}
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = corpus_pipeline.quality(spark, docs, folder)
+    assert left() == {"stage-quality"}
+    lazy = corpus_pipeline.lines(spark, kept, folder)  # still reads the first stage's tables
+    assert left() == {"stage-quality", "stage-lines"}
+    lazy.write.parquet(f"{tmp_path}/lines")
+    corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{tmp_path}/lines"), folder)
+    assert left() == {"stage-near_duplicates"}
