@@ -15,6 +15,7 @@ from steepgrid.operators.ranks import assign_ids
 from steepgrid.plans.catalog import query, table
 from steepgrid.plans.read_queries import LINE_KEY, LINE_KEY_SQL
 from steepgrid.session import scratch_dir
+from steepgrid.sources.tables import append_rows
 
 # Idempotence key: (bean, date, extraction time); the rest of the row orders rows of one key.
 BREW_KEY = ["l_orderkey", "l_shipdate", "l_quantity"]
@@ -173,16 +174,38 @@ def idempotent_append(spark, sf):
     """
 )
 def partitioned_append(spark, sf):
-    """The line items of 1995 appended to a table stored by month, of which only that year's months are read."""
+    """What the line items of 1995 add to a table stored by month, of which only that year's months are read."""
+    rows, _ = _append_by_month(spark, sf)
+    return _ship_date(rows.drop("p_name", "month"))
+
+
+def _append_by_month(spark, sf):
+    """(rows to append, path of the stored table)."""
     batch, stored, dims, _ = _append_inputs(spark, sf)
     by_month = lambda df: df.withColumn("month", F.date_format("l_shipdate", "yyyy-MM"))
     path = f"{scratch_dir(spark)}/stored-{uuid.uuid4().hex}"
-    partitions.store_partitioned(by_month(stored), path, "month")
+    partitions.store_partitioned(by_month(stored).drop("l_linestatus", "l_returnflag"), path, "month")
     rows = changes.append_new(
         by_month(batch).where(F.year("l_shipdate") == 1995), spark.read.parquet(path), dims, APPEND_KEY,
         ["l_orderkey", *BREW_ORDER], "p_name", "p_name", "p_partkey", partition="month",
     )
-    return _ship_date(rows.drop("p_name", "month"))
+    return rows, path
+
+
+@query(
+    f"""
+    {APPEND_SQL}
+    SELECT bean_id, CAST(l_shipdate AS DATE) AS ship_date, l_quantity, l_orderkey, {ORDER_SQL} FROM batch
+    WHERE l_linestatus = 'F' AND l_returnflag = 'R' AND bean_id IS NOT NULL
+    UNION ALL SELECT bean_id, CAST(l_shipdate AS DATE), l_quantity, l_orderkey, {ORDER_SQL} FROM inserted
+    WHERE year(l_shipdate) = 1995
+    """
+)
+def appended_table(spark, sf):
+    """The stored table after that append."""
+    rows, path = _append_by_month(spark, sf)
+    append_rows(rows, path, "month")
+    return _ship_date(spark.read.parquet(path).drop("p_name", "month"))
 
 
 @query(
