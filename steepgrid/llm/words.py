@@ -24,10 +24,8 @@ def hold(cache: dict) -> None:
         _held[:] = [cache]
 
 
-def settle(*caches: dict) -> None:
-    """At a task's end: empty these caches and give free memory back, as the worker stays while other stages run."""
-    for cache in caches:
-        cache.clear()
+def settle() -> None:
+    """At a task's end: give free memory back, as the worker stays while other stages run."""
     pa.default_memory_pool().release_unused()
     if _trim is not None:
         _trim(0)
@@ -54,8 +52,10 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def forget_words() -> None:
-    """``settle`` for tasks that use ``word_hashes``; hashing a word anew costs little."""
-    settle(_cache)
+    """At the end of a task that uses ``word_hashes``: empty every cache, as hashing a word anew costs little."""
+    hold(_cache)
+    _cache.clear()
+    settle()
 
 
 def unused(columns: list[str], *names: str) -> list[str]:
