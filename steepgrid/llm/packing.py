@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from steepgrid.llm.words import batched, hold, rows_of
+from steepgrid.llm.words import batched, forget, hold, rows_of
 from steepgrid.session import materialise
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -231,6 +231,7 @@ def _pack(idf, mean_tokens: float, window: int, kind: np.dtype):
                 yield rows[d][0], start, length, crc, len(docs[d]), base + sequence, offset
 
         yield from batched(pieces(), _PIECES)
+        forget()  # all texts are encoded by now
 
     return run
 

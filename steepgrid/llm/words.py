@@ -31,6 +31,13 @@ def settle() -> None:
         _trim(0)
 
 
+def forget() -> None:
+    """At the end of a task whose stage needs no cache: empty what the worker holds."""
+    for cache in _held:
+        cache.clear()
+    settle()
+
+
 class HashCache(dict):
     """Word (bytes) to its 64-bit hash, computed on first use."""
 
@@ -54,8 +61,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 def forget_words() -> None:
     """At the end of a task that uses ``word_hashes``: empty every cache, as hashing a word anew costs little."""
     hold(_cache)
-    _cache.clear()
-    settle()
+    forget()
 
 
 def unused(columns: list[str], *names: str) -> list[str]:
