@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from steepgrid.plans import ingest_queries
 from steepgrid.plans.ingest import ingest, merge_logs
 from steepgrid.schemas import BEANS, RECIPE
 from steepgrid.sources import logs
@@ -118,6 +119,16 @@ def test_no_readable_file_is_an_error(spark, tmp_path):
         merge_logs(spark, f"{tmp_path}/20*.csv", f"{tmp_path}/weather.csv", TAGS, DEFAULT)
 
 
+def test_csv_logs_with_a_bad_row_in_every_month_has_no_rows(spark, tmp_path):
+    rows = [(1499 * i, 8 * i, "F", 10.5, dt.datetime(1995, i, 3), "5-LOW") for i in (1, 2)]
+    rows += [(key, 8, "O", 11.5, dt.datetime(1995, 1, 4), "1-URGENT") for key in (1, 2)]
+    schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/orders.parquet")
+    found = ingest_queries.csv_logs(spark, str(tmp_path))
+    assert found.count() == 0 and "extraction_time" in found.columns
+    assert ingest_queries.csv_quarantine(spark, str(tmp_path)).count() == 2
+
+
 def test_missing_weather_file_fills_the_defaults(spark, folder):
     rows, _ = merge_logs(spark, f"{folder}/20*.csv", f"{folder}/absent.csv", TAGS, DEFAULT)
     assert {(r.temperature, r.humidity) for r in rows.collect()} == {(20.0, 60.0)}
