@@ -522,6 +522,19 @@ def test_windows_of_all_texts_teach(spark):
     assert got[1] > 4 and got[2] == got[3] == 1
 
 
+def test_every_window_of_a_training_text_is_learnt_from():
+    path = language_model.TOKENIZER
+    size = Tokenizer.from_file(path).get_vocab_size()
+    v = attention.vocabulary(np.ones(size + 1), np.ones(size + 1, bool))
+    text = "one two three " * 300
+    batch = pa.record_batch([pa.array([7]), pa.array([text])], names=["draw", "text"])
+    rows = [r for b in language_model._sample(path, v, 5)(iter([batch])) for r in b.to_pylist()]
+    _, (ids,) = language_model._encoded(path, [text])
+    given, targets = attention.windows(ids, v)
+    want = Counter((g.astype(np.int32).tobytes(), t.astype(np.int32).tobytes()) for g, t in zip(given, targets))
+    assert Counter((r["given"], r["wanted"]) for r in rows) == want
+
+
 # 10 join
 
 
