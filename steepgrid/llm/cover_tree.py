@@ -6,7 +6,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-LEAF = 128
+LEAF = 512  # rows of a node that is not cut further: one product of matrices costs less than many small ones
+ASKED = 256  # queries of a node that are not cut further
 FANOUT = 32
 _MISSING = np.iinfo(np.int64).max
 
@@ -114,6 +115,8 @@ def queries_of(tree: Tree, asked: np.ndarray, k: int) -> Queries:
 def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products of integer vectors, in floating point where that is exact."""
     top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
+    if top < 2.0**24:
+        return (a.astype(np.float32) @ b.astype(np.float32).T).astype(np.float64)
     if top < 2.0**53:
         return a.astype(np.float64) @ b.astype(np.float64).T
     return (a.astype(np.int64) @ b.astype(np.int64).T).astype(np.float64)
@@ -123,28 +126,36 @@ def search(q: Queries, tree: Tree) -> None:
     """Improve the queries' best lists by the rows of ``tree``; a query's own id is no answer to it.
 
     A pair of nodes can be skipped when the largest inner product that centres and radii allow is below
-    the least kth score of the node's queries. Equal scores are not skipped, since a smaller id may win.
+    the least kth score of the node's queries. Equal scores are not skipped, since a smaller id may win. Nodes of up to
+    ``ASKED`` queries and ``LEAF`` rows meet as a whole; there each query is held against the node of rows on its own.
     """
     if not len(q.ids) or not len(tree.ids):
         return
     k = q.scores.shape[1]
     q_norms, d_norms = np.linalg.norm(q.centres, axis=1), np.linalg.norm(tree.centres, axis=1)
+    rows = q.rows.astype(np.float64)
+    norms = np.linalg.norm(rows, axis=1)
 
     def bounds(i, j):
         inner = q.centres[i] @ tree.centres[j].T
         return inner + q.radii[i] * d_norms[j] + tree.radii[j] * q_norms[i] + q.radii[i] * tree.radii[j]
 
-    def hopeless(bound: float, i: int) -> bool:
-        return bound + 1e-6 + 1e-9 * abs(bound) < q.scores[q.first[i] : q.last[i], -1].min()
+    def hopeless(bound, worst):
+        return bound + 1e-6 + 1e-9 * np.abs(bound) < worst
 
     todo = [(float(bounds(0, 0)), 0, 0)]
     while todo:
         bound, i, j = todo.pop()
-        if q.last[i] == q.first[i] or hopeless(bound, i):
+        asked, held = slice(q.first[i], q.last[i]), slice(tree.first[j], tree.last[j])
+        if asked.stop == asked.start or hopeless(bound, q.scores[asked, -1].min()):
             continue
-        left, right = q.children[i], tree.children[j]
+        left = q.children[i] if asked.stop - asked.start > ASKED else []
+        right = tree.children[j]
         if not left and not right:
-            _leaves(q, tree, slice(q.first[i], q.last[i]), slice(tree.first[j], tree.last[j]), k)
+            own = rows[asked] @ tree.centres[j] + norms[asked] * tree.radii[j]
+            able = asked.start + np.flatnonzero(~hopeless(own, q.scores[asked, -1]))
+            if len(able):
+                _leaves(q, tree, able, held, k)
         elif right and (not left or tree.radii[j] >= q.radii[i]):
             values = bounds(i, np.array(right))
             todo += sorted(zip(values.tolist(), [i] * len(right), right), key=lambda x: x[0])
@@ -152,22 +163,32 @@ def search(q: Queries, tree: Tree) -> None:
             todo += sorted(((float(bounds(c, j)), c, j) for c in left), key=lambda x: x[0])
 
 
-def _leaves(q: Queries, tree: Tree, asked: slice, held: slice, k: int) -> None:
+def _best_columns(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best of each row and their ids, in no order; of equal scores those with the smaller ids."""
+    by_id = np.argsort(ids, kind="stable")
+    scores, ids = scores[:, by_id], ids[by_id]
+    least = np.partition(scores, -k, axis=1)[:, -k, None]
+    above, level = scores > least, scores == least
+    spare = k - above.sum(axis=1, keepdims=True)
+    places = np.nonzero(above | (level & (np.cumsum(level, axis=1) <= spare)))[1].reshape(-1, k)
+    return np.take_along_axis(scores, places, axis=1), ids[places]
+
+
+def _leaves(q: Queries, tree: Tree, asked: np.ndarray, held: slice, k: int) -> None:
     scores = exact_products(q.rows[asked], tree.rows[held])
     ids = tree.ids[held]
     scores[q.ids[asked][:, None] == ids[None, :]] = -np.inf
-    kth = q.scores[asked, -1]
-    better = np.flatnonzero((scores >= kth[:, None]).any(axis=1) & (scores > -np.inf).any(axis=1))
-    if not len(better):
+    best = scores.max(axis=1)
+    better = (best >= q.scores[asked, -1]) & (best > -np.inf)
+    if not better.any():
         return
-    rows = np.arange(asked.start, asked.stop)[better]
-    scores = scores[better]
-    if scores.shape[1] > 4 * k:  # all rows tied with the kth best stay
-        least = np.partition(scores, -k, axis=1)[:, -k]
-        useful = (scores >= least[:, None]).any(axis=0)
-        scores, ids = scores[:, useful], ids[useful]
+    rows, scores = asked[better], scores[better]
+    if len(ids) > k:
+        scores, names = _best_columns(scores, ids, k)
+    else:
+        names = np.broadcast_to(ids, scores.shape)
     both = np.hstack([q.scores[rows], scores])
-    names = np.hstack([q.found[rows], np.where(np.isfinite(scores), ids[None, :], _MISSING)])
+    names = np.hstack([q.found[rows], np.where(np.isfinite(scores), names, _MISSING)])
     order = np.lexsort((names, -both))[:, :k]
     q.scores[rows] = np.take_along_axis(both, order, axis=1)
     q.found[rows] = np.take_along_axis(names, order, axis=1)

@@ -207,6 +207,25 @@ def test_tree_bounds_cover_their_rows():
         assert not children or sum(tree.last[x] - tree.first[x] for x in children) == b - a
 
 
+def test_two_trees_meet_in_few_products(monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = rng.integers(-64, 64, (3000, 32))
+    rows[500:1100] = rows[500]  # ties, more than k of them
+    ids = rng.permutation(3000)
+    one, two = cover_tree.build(rows[:1500], ids[:1500]), cover_tree.build(rows[1500:], ids[1500:])
+    met, leaves = [], cover_tree._leaves
+    monkeypatch.setattr(cover_tree, "_leaves", lambda *a: (met.append(1), leaves(*a)))
+    for every in (20, 2):
+        q = cover_tree.queries_of(one, one.ids % every == 0, 20)
+        met.clear()
+        for tree in (one, two):
+            cover_tree.search(q, tree)
+        assert len(met) < 400  # one product for some hundred rows, not for a handful
+        for own, scores, found, row in zip(q.ids, q.scores, q.found, q.rows):
+            every_score = sorted((-int(s), int(i)) for s, i in zip(rows @ row, ids) if i != own)[:20]
+            assert every_score == list(zip((-scores).astype(int).tolist(), found.tolist()))
+
+
 # 3 sharding
 
 
