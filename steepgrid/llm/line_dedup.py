@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from steepgrid.llm.linking import probably_in
@@ -11,10 +13,14 @@ from steepgrid.session import materialise
 MIN_WORDS = 6  # of lines that can be near copies
 EXACT_WORDS = 1  # of lines that go as exact repeats in the query and the pipeline
 _BLANKS = "[\\x20\\x09-\\x0D]+"
+_WORD = "[^\\x20\\x09-\\x0D]"
+_RARE = "\t\v\f\r"  # blanks that few lines have
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, _BLANKS), lambda w: w != "")
+    """The words of a line; one with spaces only is split without a pattern, which costs much less."""
+    rare = reduce(lambda a, b: a | b, [F.contains(line, F.lit(c)) for c in _RARE])
+    return F.array_remove(F.when(rare, F.split(line, _BLANKS)).otherwise(F.split(line, " ")), "")
 
 
 def _half_keys(words: Column, n: Column) -> Column:
@@ -81,12 +87,13 @@ def drop_near_lines(
     columns = docs.columns
     own = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     order = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    lines = docs.select(
-        own.alias("_doc"), order.alias("_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("_no", "_line")
-    )
-    words = lines.withColumn("_words", _words(F.col("_line")))
+    texts = docs.select(own.alias("_doc"), order.alias("_id"), F.col(text_col).alias("_text"))  # hashed once, not for every line
+    lines = texts.select("_doc", "_id", F.posexplode(F.split("_text", "\n")).alias("_no", "_line"))
     least = min_words if exact_words is None else min(exact_words, min_words)
-    words = words.where(F.size("_words") >= least)
+    if least == 1:  # a condition on the words would split every line twice: once in the filter, once behind it
+        words = lines.where(F.col("_line").rlike(_WORD)).withColumn("_words", _words(F.col("_line")))
+    else:
+        words = lines.withColumn("_words", _words(F.col("_line"))).where(F.size("_words") >= least)
     words = words.withColumn("_hash", F.xxhash64("_words")).drop("_line")
     n = F.size("_words")
     keys = F.when(n >= min_words, _half_keys(F.col("_words"), n)).otherwise(F.array().cast("array<bigint>"))
@@ -184,7 +191,7 @@ def drop_near_lines(
     again = materialise(
         again.select(F.col("_hash").alias("_h"), "_first", F.col("late").isNotNull().alias("_near")), "repeated-lines"
     )
-    of, places = unused([*columns, "n_lines", "n_removed"], "_of", "_gone")
+    of, places, pieces = unused([*columns, "n_lines", "n_removed"], "_of", "_gone", "_pieces")
     gone = (
         probably_in(found.select("_doc", "_id", "_no", "_hash"), "_hash", again.select("_h"))
         .join(again, F.col("_hash") == F.col("_h"))
@@ -193,7 +200,7 @@ def drop_near_lines(
         .agg(F.collect_set("_no").alias(places))
     )
     none = F.array().cast("array<int>")
-    parts = F.split(docs[text_col], "\n")
+    parts = F.col(pieces)
     count = F.coalesce(F.size(parts), F.lit(0))
     keep = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.coalesce(places, none))
     text = F.when(F.col(places).isNull(), docs[text_col]).otherwise(
@@ -202,6 +209,7 @@ def drop_near_lines(
     kept = [c for c in columns if c.lower() not in ("n_lines", "n_removed")]
     return (
         docs.join(materialise(gone, "dropped-places"), own == F.col(of), "left")
+        .withColumn(pieces, F.split(docs[text_col], "\n"))  # once, not for every line kept
         .select(
             *[text.alias(c) if c == text_col else docs[c] for c in kept],
             F.when(docs[text_col].isNull(), 0).otherwise(count).alias("n_lines"),

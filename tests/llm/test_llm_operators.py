@@ -1,5 +1,6 @@
 """Operators of the llm subpackage against brute force, on small tables that hold the awkward cases."""
 
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -215,12 +216,12 @@ def test_two_trees_meet_in_few_products(monkeypatch):
     one, two = cover_tree.build(rows[:1500], ids[:1500]), cover_tree.build(rows[1500:], ids[1500:])
     met, leaves = [], cover_tree._leaves
     monkeypatch.setattr(cover_tree, "_leaves", lambda *a: (met.append(1), leaves(*a)))
-    for every in (20, 2):
+    for every, most in ((20, 300), (2, 10_000)):
         q = cover_tree.queries_of(one, one.ids % every == 0, 20)
         met.clear()
         for tree in (one, two):
             cover_tree.search(q, tree)
-        assert len(met) < 400  # one product for some hundred rows, not for a handful
+        assert len(met) < most  # all queries of a small block meet a node of rows in one product
         for own, scores, found, row in zip(q.ids, q.scores, q.found, q.rows):
             every_score = sorted((-int(s), int(i)) for s, i in zip(rows @ row, ids) if i != own)[:20]
             assert every_score == list(zip((-scores).astype(int).tolist(), found.tolist()))
@@ -387,6 +388,16 @@ def test_line_dedup_equals_brute_force(spark, nothing):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_a_text_is_hashed_and_split_once(spark):
+    """A step per line that reads the whole text would take minutes here."""
+    lines = [f"long line {i}" for i in range(40_000)]
+    rows = [(1, "\n".join([*lines, lines[7], "a\tb\x0bc", "a b\x0cc", "a \r b  c\t", "\t \x0b"]))]
+    began = time.monotonic()
+    (got,) = line_dedup.drop_near_lines(spark.createDataFrame(rows, "doc_id long, text string"), exact_words=1).collect()
+    assert time.monotonic() - began < 60
+    assert got.text == "\n".join([*lines, "a\tb\x0bc", "\t \x0b"]) and (got.n_lines, got.n_removed) == (40_005, 3)
+
+
 def test_exact_repeats_of_short_lines_go(spark, tmp_path):
     rows = [
         (1, "All rights reserved.\n\nx"),
