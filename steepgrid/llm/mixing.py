@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from steepgrid.llm.linking import probably_in
 from steepgrid.llm.text_stats import SYMBOLS, word_characters
-from steepgrid.llm.words import batched, hold, lower_words, rows_of, unused
+from steepgrid.llm.words import hold, lower_words, rows_of, unused
 from steepgrid.session import materialise
 
 DOMAINS = ["clean", "low", "toxic"]
@@ -35,8 +35,6 @@ ROUNDS = 30
 CLOSE = 1e-6  # stop when totals miss their targets by this share of all tokens
 HOLD = 0.1  # a rate this close to one is one copy
 
-_MARKED = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("marks", pa.binary())])
-
 
 def domain_of(labels: DataFrame) -> Column:
     """A labelled row's domain: toxic if marked so, else low or clean by its quality; null without either."""
@@ -80,16 +78,8 @@ def marks(text: str | None) -> tuple[int, np.ndarray]:
     return len(words), np.concatenate([np.unique(found).astype(np.int64), shape])
 
 
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows():
-        for key, lang, text in rows_of(batches, "id", "lang", "text"):
-            yield key, lang, marks(text)[1].astype(np.uint32).tobytes()
-
-    yield from batched(rows(), _MARKED, 512)
-
-
 def _count_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each domain by language and bucket, and of all languages under null; the extra bucket counts all."""
+    """Documents of each domain by language and bucket; the extra bucket counts all."""
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), *((d, pa.int64()) for d in DOMAINS)])
     held: dict[str | None, np.ndarray] = {}
 
@@ -101,13 +91,12 @@ def _count_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch(columns, schema=schema)
         held.clear()
 
-    for lang, domain, found in rows_of(batches, "lang", "domain", "marks"):
-        if lang not in held and len(held) > LANGUAGES:
+    for lang, domain, text in rows_of(batches, "lang", "domain", "text"):
+        if lang not in held and len(held) >= LANGUAGES:
             yield from counted()
-        for name in {lang, None}:
-            counts = held.setdefault(name, np.zeros((len(DOMAINS), MARKS + 1), np.int64))
-            counts[domain, np.frombuffer(found, np.uint32)] += 1
-            counts[domain, MARKS] += 1
+        counts = held.setdefault(lang, np.zeros((len(DOMAINS), MARKS + 1), np.int64))
+        counts[domain, marks(text)[1]] += 1
+        counts[domain, MARKS] += 1
     yield from counted()
 
 
@@ -261,17 +250,23 @@ def fit_mixer(
         .agg(F.max("_domain").cast("int").alias("domain")),
         "mix-labels",
     )
-    counted = (
+    # texts are shuffled to their labels, as they are smaller than their marks; at every size alike
+    by_lang = materialise(
         probably_in(texts, "id", taught.select("label_id"))
-        .mapInArrow(_mark, "id long, lang string, marks binary")
-        .join(taught, F.col("id") == F.col("label_id"))
-        .select("lang", "domain", "marks")
+        .join(taught.hint("merge"), F.col("id") == F.col("label_id"))
+        .select("lang", "domain", "text")
         .mapInArrow(_count_marks, "lang string, bucket int, " + ", ".join(f"{d} long" for d in DOMAINS))
         .groupBy("lang", "bucket")
-        .agg(*[F.sum(d).alias(d) for d in DOMAINS])
+        .agg(*[F.sum(d).alias(d) for d in DOMAINS]),
+        "mix-counts",  # at most languages times buckets rows
+    )
+    pooled = by_lang.groupBy("bucket").agg(*[F.sum(d).alias(d) for d in DOMAINS])
+    counted = (
+        by_lang.where("lang is not null")
+        .unionByName(pooled.select(F.lit(None).cast("string").alias("lang"), "bucket", *DOMAINS))
         # no mark in fewer documents of each domain tells anything
         .where((F.greatest(*DOMAINS) >= LEAST) | F.col("bucket").between(BUCKETS - SHAPES, BUCKETS - 1) | (F.col("bucket") == MARKS))
-        .toArrow()  # at most languages times buckets rows
+        .toArrow()
     )
     tables: dict[str | None, np.ndarray] = {}
     for lang in counted["lang"].unique().to_pylist():

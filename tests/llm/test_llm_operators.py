@@ -321,6 +321,19 @@ def test_mixing_meets_its_targets(spark, docs, nothing):
     assert mixing.mix_documents(docs, nosuch(spark)).columns == docs.columns
 
 
+def test_marks_are_counted_where_the_texts_arrive():
+    """Once, in the text's own language: neither marks nor a second count for all languages are shuffled."""
+    rows = [("en", 0, "one two one"), ("en", 2, "two"), ("fr", 1, "deux"), (None, 0, "two"), (None, 1, None)]
+    batch = pa.record_batch([pa.array(c) for c in zip(*rows)], names=["lang", "domain", "text"])
+    got, want = Counter(), Counter()
+    for some in mixing._count_marks(iter([batch])):
+        for r in some.to_pylist():
+            got.update({(r["lang"], r["bucket"], d): r[name] for d, name in enumerate(mixing.DOMAINS) if r[name]})
+    for lang, domain, text in rows:
+        want.update((lang, int(m), domain) for m in [*mixing.marks(text)[1], mixing.MARKS])
+    assert got == want
+
+
 def test_marks_of_a_smaller_language_tell(spark):
     rng = np.random.default_rng(6)
     stems = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(300)]
