@@ -10,16 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from steepgrid.llm.linking import components, probably_in
-from steepgrid.llm.words import batched, hashed_texts, mixed, rows_of, unused, window_hashes
+from steepgrid.llm.words import batched, hashed_texts, mixed, rows_of, settle, unused, window_hashes
 from steepgrid.session import materialise
 
 WIDTH = 5
 PERCENT = 75
 BLOCK = 512  # documents of one inverted index
 QUERIES = 256  # queries that one index answers in one unit of work
-COUNTED = 4_000_000  # shingles sorted together
+COUNTED = 1_000_000  # shingles sorted together
 KEY_BYTES = 5  # of a shingle's hash, kept while repeated shingles are looked for
-RANGES = 64  # parts of the key space, counted apart
+GAP_BYTES = 3  # of the step from one sorted key to the next; a longer step takes several
+RANGES = 1024  # parts of the key space, counted one after the other
+COUNTERS = 64  # tasks that count them
 MAP_BITS = 27  # size of the map of repeated shingles: 16 MB whatever the input
 LONG = 1.0  # weight of the list length in choosing how many lists are probed
 PROBES = 8192  # looked up in one step
@@ -64,17 +66,36 @@ def least_overlap(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
+def packed_gaps(keys: np.ndarray, start: int) -> bytes:
+    """Sorted keys from ``start`` on as steps of GAP_BYTES; the greatest step stands for no key."""
+    longest = (1 << 8 * GAP_BYTES) - 1
+    gaps = np.diff(keys.astype(np.int64), prepend=start)
+    more = gaps // longest
+    steps = np.full(len(gaps) + int(more.sum()), longest, np.int64)
+    steps[np.arange(len(gaps)) + np.cumsum(more)] = gaps % longest
+    return steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :GAP_BYTES].tobytes()
+
+
+def unpacked_gaps(blob: bytes, start: int) -> np.ndarray:
+    raw = np.zeros((len(blob) // GAP_BYTES, 8), np.uint8)
+    raw[:, :GAP_BYTES] = np.frombuffer(blob, np.uint8).reshape(-1, GAP_BYTES)
+    steps = raw.view("<u8").ravel()
+    return (np.cumsum(steps) + np.uint64(start))[steps != (1 << 8 * GAP_BYTES) - 1]
+
+
 def _keys(width: int):
     """Leading bytes of all sets' shingles, sorted and cut into ranges; an equal neighbour marks a repeated one."""
     schema = pa.schema([("range", pa.int32()), ("keys", pa.binary())])
 
     def cut(held: list[np.ndarray]):
-        keys = np.sort(np.concatenate(held) >> np.uint64(64 - 8 * KEY_BYTES))
+        keys = np.concatenate(held)
+        keys >>= np.uint64(64 - 8 * KEY_BYTES)
+        keys.sort()
         # twice is as good as often
         keys = keys[np.concatenate([[True, True], keys[2:] != keys[:-2]])[: len(keys)]]
         step = (1 << 8 * KEY_BYTES) // RANGES
         bounds = np.searchsorted(keys, np.arange(1, RANGES, dtype=np.uint64) * np.uint64(step))
-        parts = [x.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes() for x in np.split(keys, bounds)]
+        parts = [packed_gaps(x, i * step) for i, x in enumerate(np.split(keys, bounds))]
         return pa.record_batch([pa.array(range(RANGES), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,6 +112,7 @@ def _keys(width: int):
                 held, size = [], 0
         if held:
             yield cut(held)
+        settle()
 
     return run
 
@@ -98,22 +120,30 @@ def _keys(width: int):
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per range, the part of the map whose bits stand for keys that come at least twice.
 
-    Keys are held apart by their next bits, so that a task sorts a part at a time.
+    Keys wait until they are as many as those sorted before, so that a key is sorted a few times at most.
     """
     schema = pa.schema([("range", pa.int32()), ("bits", pa.binary())])
     rows = rows_of(batches, "range", "keys")
     for number, blobs in groupby(rows, key=lambda r: r[0]):
-        size = 1 << MAP_BITS
-        bits = np.zeros(size // RANGES, bool)
+        bits = np.zeros((1 << MAP_BITS) // RANGES, bool)
         once = np.zeros(0, np.uint64)
-        for _, blob in blobs:
-            raw = np.zeros((len(blob) // KEY_BYTES, 8), np.uint8)
-            raw[:, :KEY_BYTES] = np.frombuffer(blob, np.uint8).reshape(-1, KEY_BYTES)
-            once = np.sort(np.concatenate([once, raw.view(np.uint64).ravel()]), kind="stable")
+
+        def counted(once: np.ndarray, waiting: list[np.ndarray]) -> np.ndarray:
+            once = np.sort(np.concatenate([once, *waiting]), kind="stable")
             again = once[1:] == once[:-1]
             bits[_place(once[1:][again]) - number * len(bits)] = True
-            once = once[np.concatenate([[True], ~again])] if len(once) else once
+            return once[np.concatenate([[True], ~again])] if len(once) else once
+
+        waiting, size = [], 0
+        for _, blob in blobs:
+            waiting.append(unpacked_gaps(blob, number * ((1 << 8 * KEY_BYTES) // RANGES)))
+            size += len(waiting[-1])
+            if size > len(once):
+                once = counted(once, waiting)
+                waiting, size = [], 0
+        counted(once, waiting)
         yield pa.record_batch([pa.array([number], pa.int32()), pa.array([np.packbits(bits).tobytes()])], schema=schema)
+    settle()
 
 
 def _place(keys: np.ndarray) -> np.ndarray:
@@ -304,8 +334,9 @@ def _plausible(percent: int):
 def _units(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links of search units from (unit, part, sid, label) of queries and members."""
     rows = asked.withColumn("asks", F.lit(True)).unionByName(members.withColumn("asks", F.lit(False)))
+    # sets are shuffled to their rows at every size alike, as the rows grow with the input
     rows = (
-        rows.join(sets.select("sid", "n", "parity"), "sid")
+        rows.hint("merge").join(sets.select("sid", "n", "parity"), "sid")
         .repartition("unit", "part")
         .sortWithinPartitions("unit", "part", "asks", "sid")
         .select("unit", "part", "asks", "sid", "label", "n", "parity")
@@ -314,7 +345,7 @@ def _units(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: int)
     rows = materialise(rows, "plausible")
     return (
         probably_in(sets.select("sid", "shingles"), "sid", rows.select("sid"))
-        .join(rows, "sid")
+        .join(rows.hint("merge"), "sid")
         .repartition("unit", "part")
         .sortWithinPartitions("unit", "part", "asks", "sid")
         .select("unit", "part", "asks", "sid", "label", "shingles")
@@ -374,7 +405,7 @@ def join_by_shingles(
     parts = (
         texts.select("text")
         .mapInArrow(_keys(width), "range int, keys binary")
-        .repartition(RANGES, "range")
+        .repartition(COUNTERS, "range")
         .sortWithinPartitions("range")
         .mapInArrow(_repeated, "range int, bits binary")
         .toPandas()  # a map of fixed size
@@ -404,7 +435,7 @@ def join_by_shingles(
     wanted = materialise(clusters.select("sid").distinct(), "wanted-sets")
     sets = (
         probably_in(table.where("prefix is not null").select("sid", "n", "shingles", "parity"), "sid", wanted)
-        .join(wanted, "sid", "left_semi")
+        .join(wanted.hint("merge"), "sid", "left_semi")
         .dropDuplicates(["sid"])
     )
     sets = materialise(sets, "wanted-shingles")
