@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from steepgrid.llm.linking import probably_in
 from steepgrid.llm.text_stats import SYMBOLS, word_characters
-from steepgrid.llm.words import hold, lower_words, rows_of, unused
+from steepgrid.llm.words import lower_words, settle, unused
 from steepgrid.session import materialise
 
 DOMAINS = ["clean", "low", "toxic"]
@@ -30,7 +29,6 @@ FACTOR = 2.0  # a telling mark is this many times as frequent in a domain's docu
 CERTAIN = 5.0  # and this many standard errors over what is expected
 LEAST = 5  # and in this many of them
 LANGUAGES = 16  # counted together by one task
-WORDS = 300_000  # a worker keeps the marks of; beyond it the cache starts anew
 ROUNDS = 30
 CLOSE = 1e-6  # stop when totals miss their targets by this share of all tokens
 HOLD = 0.1  # a rate this close to one is one copy
@@ -41,41 +39,116 @@ def domain_of(labels: DataFrame) -> Column:
     return F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0)
 
 
-class _WordMarks(dict):
-    """Buckets of a word and of its prefixes, as bytes."""
+_EDGE = np.isin(np.arange(256), list(b".,;:!?"))  # not part of a word at its ends
+_P1, _P2, _P3, _P4, _P5 = (
+    np.uint64(x)
+    for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+)
+_TAIL = 32  # bytes from which on a word is hashed alone
+_TOGETHER = 1 << 20  # bytes of distinct words hashed in one step
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def short_hashes(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int = 0) -> np.ndarray:
+    """XXH64 of stretches of fewer than 32 bytes, many in one step; ``raw`` has 32 more bytes behind the last."""
+    found = np.uint64(seed) + _P5 + sizes.astype(np.uint64)
+    order = np.argsort(-sizes, kind="stable")  # the longest first, so that a step takes the first some
+    found, starts, sizes = found[order], starts[order], sizes[order]
+    wide = np.lib.stride_tricks.sliding_window_view(raw, 8)
+    at = starts.copy()
+    for lane in range(int(sizes[0]) // 8 if len(sizes) else 0):
+        n = int(np.searchsorted(-sizes, -8 * (lane + 1), "right"))
+        lanes = wide[at[:n]].view("<u8").ravel()
+        found[:n] = _turned(found[:n] ^ (_turned(lanes * _P2, 31) * _P1), 27) * _P1 + _P4
+        at[:n] += 8
+    some = np.flatnonzero(sizes & 4)
+    half = np.ascontiguousarray(wide[at[some], :4]).view("<u4").ravel().astype(np.uint64)
+    found[some] = _turned(found[some] ^ (half * _P1), 23) * _P2 + _P3
+    at[some] += 4
+    for rest in range(1, 4):
+        some = np.flatnonzero((sizes & 3) >= rest)
+        found[some] = _turned(found[some] ^ (raw[at[some]].astype(np.uint64) * _P5), 11) * _P1
+        at[some] += 1
+    found = (found ^ (found >> np.uint64(33))) * _P2
+    found = (found ^ (found >> np.uint64(29))) * _P3
+    out = np.empty_like(found)
+    out[order] = found ^ (found >> np.uint64(32))
+    return out
+
+
+def _word_buckets(texts: list[list[bytes]]) -> list[np.ndarray]:
+    """Buckets of the words of each text and of their prefixes, some more than once."""
+    counts = np.array([len(words) for words in texts], np.int64)
+    every = [word for words in texts for word in words]
+    raw = np.frombuffer(b" ".join([*every, bytes(_TAIL)]), np.uint8)
+    lengths = np.fromiter(map(len, every), np.int64, len(every))
+    ends = np.cumsum(lengths + 1) - 1
+    inner = np.flatnonzero(~_EDGE[raw])  # the zeros at the end are inner ones
+    first = inner[np.searchsorted(inner, ends - lengths)]
+    last = inner[np.maximum(np.searchsorted(inner, ends) - 1, 0)]
+    # the blank behind a word of nothing but marks is found first
+    empty = first >= ends
+    starts = np.where(empty, ends, first)
+    sizes = np.where(empty, 0, last + 1 - first)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    whole = np.zeros(len(every), np.uint64)
+    short = np.flatnonzero(sizes < _TAIL)
+    whole[short] = short_hashes(raw, starts[short], sizes[short])
+    for i in np.flatnonzero(sizes >= _TAIL):
+        whole[i] = xxhash.xxh64_intdigest(raw[starts[i] : starts[i] + sizes[i]].tobytes())
+    found, owners = [whole % np.uint64(BUCKETS - SHAPES)], [owner]
+    for n in WIDTHS:
+        some = np.flatnonzero(sizes > n)
+        hashes = short_hashes(raw, starts[some], np.full(len(some), n), n)
+        found.append(hashes % np.uint64(PREFIXES) + np.uint64(BUCKETS))
+        owners.append(owner[some])
+    owner = np.concatenate(owners)
+    order = np.argsort(owner.astype(np.uint16) if len(texts) < 1 << 16 else owner, kind="stable")
+    buckets = np.concatenate(found).astype(np.int64)[order]
+    return np.split(buckets, np.searchsorted(owner[order], np.arange(1, len(texts))))
+
+
+def _shape(text: str, words: int, distinct: int) -> list[int]:
+    chars = max(1, word_characters(text))
+    raw = text.encode("utf-8", "surrogatepass")
+    upper = len(raw) - len(raw.translate(None, bytes(range(65, 91))))
+    shares = (
+        sum(map(text.count, SYMBOLS)) / words,
+        upper / chars,
+        text.count("!") / words,
+        min(1.0, distinct / words),
+    )
+    return [BUCKETS - SHAPES + 16 * i + min(15, int(share * 10)) for i, share in enumerate(shares)]
+
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= WORDS:
-            self.clear()
-        bare = word.strip(b".,;:!?")
-        found = [xxhash.xxh64_intdigest(bare) % (BUCKETS - SHAPES)]
-        found += [BUCKETS + xxhash.xxh64_intdigest(bare[:n], n) % PREFIXES for n in WIDTHS if len(bare) > n]
-        value = self[word] = array("I", found).tobytes()
-        return value
+def marked(texts: Iterable[str | None]) -> Iterator[tuple[int, np.ndarray, list[int]]]:
+    """Of every text the number of words, the buckets of its words and of their prefixes, some more than once, and those
+    of its shape; the words of many texts are hashed together."""
+    held: list[tuple] = []
+    size = 0
 
+    def done():
+        for (n, _, shape), found in zip(held, _word_buckets([words for _, words, _ in held]) if held else [], strict=True):
+            yield n, found, shape
 
-_word_marks = _WordMarks()  # workers live on between tasks
+    for text in texts:
+        words = lower_words(text)
+        distinct = list(set(words))
+        held.append((len(words), distinct, _shape(text, len(words), len(distinct)) if words else []))
+        size += sum(map(len, distinct)) + 1
+        if size >= _TOGETHER:
+            yield from done()
+            held, size = [], 0
+    yield from done()
 
 
 def marks(text: str | None) -> tuple[int, np.ndarray]:
     """Number of words, and the buckets of a text's distinct words, of their prefixes and of its shape."""
-    words = lower_words(text)
-    if not words:
-        return 0, np.empty(0, np.int64)
-    distinct = set(words)
-    hold(_word_marks)
-    found = np.frombuffer(b"".join(map(_word_marks.__getitem__, distinct)), np.uint32)
-    chars = max(1, word_characters(text))
-    raw = text.encode("utf-8", "surrogatepass")
-    upper = len(raw) - len(raw.translate(None, bytes(range(65, 91))))
-    shares = (
-        sum(map(text.count, SYMBOLS)) / len(words),
-        upper / chars,
-        text.count("!") / len(words),
-        min(1.0, len(distinct) / len(words)),
-    )
-    shape = [BUCKETS - SHAPES + 16 * i + min(15, int(share * 10)) for i, share in enumerate(shares)]
-    return len(words), np.concatenate([np.unique(found).astype(np.int64), shape])
+    ((n, found, shape),) = marked([text])
+    return n, np.array([*np.unique(found), *shape], np.int64)
 
 
 def _count_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,13 +164,18 @@ def _count_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch(columns, schema=schema)
         held.clear()
 
-    for lang, domain, text in rows_of(batches, "lang", "domain", "text"):
-        if lang not in held and len(held) >= LANGUAGES:
-            yield from counted()
-        counts = held.setdefault(lang, np.zeros((len(DOMAINS), MARKS + 1), np.int64))
-        counts[domain, marks(text)[1]] += 1
-        counts[domain, MARKS] += 1
+    for batch in batches:
+        langs, domains = batch.column("lang").to_pylist(), batch.column("domain").to_pylist()
+        for lang, domain, (_, found, shape) in zip(langs, domains, marked(batch.column("text").to_pylist()), strict=True):
+            if lang not in held:
+                if len(held) >= LANGUAGES:
+                    yield from counted()
+                held[lang] = np.zeros((len(DOMAINS), MARKS + 1), np.int64)
+            row = held[lang][domain]
+            row[found] += 1  # a repeated bucket counts once
+            row[[*shape, MARKS]] += 1
     yield from counted()
+    settle()
 
 
 @dataclass
@@ -108,9 +186,15 @@ class Evidence:
     telling: np.ndarray  # sorted buckets
     ratio: np.ndarray  # domain, place in ``telling``
 
-    def logs(self, found: np.ndarray) -> np.ndarray:
+    def __post_init__(self):
+        self.tells = np.zeros(MARKS, bool)
+        self.tells[self.telling] = True
+
+    def logs(self, found: np.ndarray, shape: list[int]) -> np.ndarray:
+        """Of a text with these buckets, which may be repeated, and those of its shape."""
         if not len(self.telling):
             return self.prior
+        found = np.array([*np.unique(found[self.tells[found]]), *shape], np.int64)
         at = np.minimum(np.searchsorted(self.telling, found), len(self.telling) - 1)
         return self.prior + self.ratio[:, at[self.telling[at] == found]].sum(axis=1)
 
@@ -162,9 +246,9 @@ class Mixer:
     languages: dict[str | None, Evidence]
     steps: list[np.ndarray] = field(default_factory=list)
 
-    def posteriors(self, langs: list[str | None], found: list[np.ndarray]) -> np.ndarray:
+    def posteriors(self, langs: list[str | None], found: list[tuple[np.ndarray, list[int]]]) -> np.ndarray:
         every = self.languages[None]
-        logs = [self.languages.get(g, every).logs(f) for g, f in zip(langs, found, strict=True)]
+        logs = [self.languages.get(g, every).logs(*f) for g, f in zip(langs, found, strict=True)]
         logs = np.array(logs).reshape(-1, len(DOMAINS))
         odds = np.exp(np.clip(logs - logs.max(axis=1, keepdims=True), -30, 0))
         return odds / odds.sum(axis=1, keepdims=True)
@@ -184,10 +268,12 @@ def _posteriors(mixer: Mixer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                sizes, found = zip(*map(marks, batch.column("text").to_pylist()))
+                some = list(marked(batch.column("text").to_pylist()))
+                sizes, found = [n for n, *_ in some], [f for _, *f in some]
                 p = mixer.posteriors(batch.column("lang").to_pylist(), found)
                 columns = [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(p.tolist(), pa.list_(pa.float64()))]
                 yield pa.record_batch(columns, schema=_POSTERIORS)
+        settle()
 
     return run
 
@@ -350,7 +436,7 @@ def mix_documents(
 
     @F.pandas_udf("double")
     def rate(langs: pd.Series, texts: pd.Series) -> pd.Series:
-        found = [marks(t)[1] for t in texts]
+        found = [f for _, *f in marked(texts)]
         langs = [g if isinstance(g, str) else None for g in langs]
         return pd.Series(mixer.rates(mixer.posteriors(langs, found)) if len(found) else [], dtype="float64")
 

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-from steepgrid.llm import ngram_join
+from steepgrid.llm import mixing, ngram_join
 
 
 def test_packed_gaps_keep_every_key():
@@ -36,3 +37,31 @@ def test_repeated_shingles_are_exchanged_in_three_bytes_and_all_found(monkeypatc
     want = np.zeros(1 << ngram_join.MAP_BITS, bool)
     want[ngram_join._place(keys[times > 1])] = True
     assert (bits == want).all()
+
+
+def old_marks(text):
+    """Buckets word by word, with the library's hash."""
+    buckets = set()
+    for word in (text or "").encode().lower().split():
+        bare = word.strip(b".,;:!?")
+        buckets.add(xxhash.xxh64_intdigest(bare) % (mixing.BUCKETS - mixing.SHAPES))
+        for n in mixing.WIDTHS:
+            if len(bare) > n:
+                buckets.add(mixing.BUCKETS + xxhash.xxh64_intdigest(bare[:n], n) % mixing.PREFIXES)
+    return sorted(buckets)
+
+
+def test_words_of_many_texts_are_marked_together(monkeypatch):
+    rng = np.random.default_rng(3)
+    alphabet = list("abcdefgé.,!?xyzÄ")
+    texts = [" ".join("".join(rng.choice(alphabet, rng.integers(1, 40))) for _ in range(60)) for _ in range(40)]
+    texts += [None, "", " \t\n", "!", "... a !?", "x" * 31, "x" * 32 + "!", "Y" * 500, "a\x00 \x00", "!" * 90 + " b"]
+    want = [old_marks(t) for t in texts]
+    calls = []
+    real = xxhash.xxh64_intdigest
+    monkeypatch.setattr(mixing.xxhash, "xxh64_intdigest", lambda *x: calls.append(x) or real(*x))
+    found = list(mixing.marked(texts))
+    assert [np.unique(f).tolist() for _, f, _ in found] == want
+    assert [n for n, *_ in found] == [len((t or "").encode().split()) for t in texts]
+    assert all(len(x[0]) >= 32 for x in calls)  # word by word only long ones
+    assert [mixing.marks(t)[1].tolist() for t in texts] == [[*w, *shape] for w, (_, _, shape) in zip(want, found)]
