@@ -3,8 +3,9 @@
 import numpy as np
 import pyarrow as pa
 import xxhash
+from tokenizers import Tokenizer
 
-from steepgrid.llm import mixing, ngram_join
+from steepgrid.llm import attention, language_model, mixing, ngram_join
 
 
 def test_packed_gaps_keep_every_key():
@@ -65,3 +66,19 @@ def test_words_of_many_texts_are_marked_together(monkeypatch):
     assert [n for n, *_ in found] == [len((t or "").encode().split()) for t in texts]
     assert all(len(x[0]) >= 32 for x in calls)  # word by word only long ones
     assert [mixing.marks(t)[1].tolist() for t in texts] == [[*w, *shape] for w, (_, _, shape) in zip(want, found)]
+
+
+def test_windows_are_exchanged_as_ids_once(spark):
+    path = language_model.TOKENIZER
+    size = Tokenizer.from_file(path).get_vocab_size()
+    v = attention.vocabulary(np.ones(size + 1), np.ones(size + 1, bool))
+    for n in (0, 1, 14, 15, 16, 17, 1022, 1023, 1024, 1025, 5000):
+        text = "one " * n
+        batch = pa.record_batch([pa.array([7]), pa.array([text])], names=["draw", "text"])
+        rows = [r for b in language_model._runs(path, v)(iter([batch])) for r in b.to_pylist()]
+        _, (ids,) = language_model._encoded(path, [text])
+        assert sum(len(r["ids"]) for r in rows) <= 2 * (len(ids) + 1) + 18 * len(rows)
+        assert [r["run"] for r in rows] == list(range(len(rows))) and len(rows) <= len(ids) // 1024 + 1
+        parts = list(language_model._stretches(language_model._runs(path, v)(iter([batch])), v))
+        for got, want in zip((np.concatenate(x) for x in zip(*parts)), attention.windows(ids, v)):
+            assert got.tolist() == want.tolist()
