@@ -5,7 +5,7 @@ import pyarrow as pa
 import xxhash
 from tokenizers import Tokenizer
 
-from steepgrid.llm import attention, language_model, mixing, ngram_join
+from steepgrid.llm import attention, language_model, mixing, ngram_join, packing
 
 
 def test_packed_gaps_keep_every_key():
@@ -82,3 +82,44 @@ def test_windows_are_exchanged_as_ids_once(spark):
         parts = list(language_model._stretches(language_model._runs(path, v)(iter([batch])), v))
         for got, want in zip((np.concatenate(x) for x in zip(*parts)), attention.windows(ids, v)):
             assert got.tolist() == want.tolist()
+
+
+def test_plain_units_go_to_the_model_alone(monkeypatch):
+    cache = packing.ChunkIds(packing.TOKENIZER)
+    whole, calls = cache.tokenizer, []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(whole, name)
+
+        def encode(self, text, **more):
+            calls.append(text)
+            return whole.encode(text, **more)
+
+    monkeypatch.setattr(cache, "tokenizer", Counting())
+    letters = [chr(i) for i in range(256)]
+    texts = [" ".join(f"{a}{x}{y}{b}" for y in letters) for x in letters for a, b in (("Q", "s"), ("'", "ll"), ("", "'"))]
+    for text, ids in zip(texts, packing.encode_texts(cache, texts, None), strict=True):
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids
+    # not even a text of Latin-1 in which two signs are a special token's start
+    assert all("<|" in text for text in calls)
+    calls.clear()
+    got = packing.encode_texts(cache, ["plain WORDS, and 日本 it's", None], 2)
+    assert calls == ["日本"] and got[1].tolist() == [2]
+
+
+def test_neighbours_keep_their_order_however_many_there_are():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 200, 256, 257, 3000):
+        score = rng.integers(0, 40, n).astype(float)
+        some = np.flatnonzero(score)
+        assert list(packing._falling(score)) == some[np.argsort(-score[some], kind="stable")].tolist()
+
+
+def test_an_index_thinned_out_packs_like_the_whole(monkeypatch):
+    rng = np.random.default_rng(6)
+    docs = [(rng.zipf(1.2, n) % 300).astype(np.uint16) for n in rng.integers(1, 300, 600)]
+    idf = rng.random(300).astype(np.float32)
+    got = list(packing.pack_shard(docs, idf, 150.0, 512))
+    monkeypatch.setattr(packing, "LIVE", 0.0)
+    assert got == list(packing.pack_shard(docs, idf, 150.0, 512))
