@@ -374,6 +374,23 @@ def _by_size(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.join(kept, ["unit", "_class"]).select(F.xxhash64("unit", "_class").alias("unit"), "sid")
 
 
+def _repeated_map(texts: DataFrame, width: int) -> bytes:
+    """The bit map of repeated shingles, put together by the driver; of fixed size."""
+    parts = (
+        texts.select("text")
+        .mapInArrow(_keys(width), "range int, keys binary")
+        .repartition(COUNTERS, "range")
+        .sortWithinPartitions("range")
+        .mapInArrow(_repeated, "range int, bits binary")
+        .toArrow()
+    )
+    bits = bytearray((1 << MAP_BITS) // 8)
+    for number, part in zip(parts["range"].to_pylist(), parts["bits"]):
+        some = part.as_py()
+        bits[number * len(some) : (number + 1) * len(some)] = some
+    return bytes(bits)
+
+
 def join_by_shingles(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -402,24 +419,17 @@ def join_by_shingles(
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    parts = (
-        texts.select("text")
-        .mapInArrow(_keys(width), "range int, keys binary")
-        .repartition(COUNTERS, "range")
-        .sortWithinPartitions("range")
-        .mapInArrow(_repeated, "range int, bits binary")
-        .toPandas()  # a map of fixed size
-    )
-    bits = bytearray((1 << MAP_BITS) // 8)
-    for number, part in zip(parts["range"], parts["bits"], strict=True):
-        bits[number * len(part) : (number + 1) * len(part)] = part
+    repeated = spark.sparkContext.broadcast(_repeated_map(texts, width))
     table = materialise(
         texts.mapInArrow(
-            _prefixes(width, percent, spark.sparkContext.broadcast(bytes(bits))),
+            _prefixes(width, percent, repeated),
             "id long, n long, sid long, prefix array<long>, shingles binary, parity binary",
         ),
         "shingle-sets",
     )
+    repeated.destroy()  # the sets are written; the driver holds no map while they are joined
+    del repeated
+    settle()
     rows = table.where("prefix is not null").select("sid", F.explode("prefix").alias("shingle"))
     centres = (
         rows.groupBy("shingle").agg(F.min("sid").alias("unit"), F.max("sid").alias("_other")).where("unit <> _other")

@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark import Broadcast
 
 import corpus_pipeline
-from steepgrid.llm import packing
+from steepgrid.llm import ngram_join, packing
 
 from test_llm_operators import brute_components
 
@@ -71,3 +72,12 @@ def test_a_stage_deletes_what_earlier_ones_have_left(spark, folder, tmp_path):
     lazy.write.parquet(f"{tmp_path}/lines")
     corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{tmp_path}/lines"), folder)
     assert left() == {"stage-near_duplicates"}
+
+
+def test_the_driver_frees_the_map_of_repeated_shingles(spark, monkeypatch):
+    freed, real = [], Broadcast.destroy
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *more: freed.append(len(self.value)) or real(self, *more))
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, None)], "doc_id long, text string")
+    rows = ngram_join.join_by_shingles(docs).collect()
+    assert sorted(tuple(r) for r in rows) == [(1, 2, 1), (2, 2, 1), (3, 0, 3)]
+    assert freed == [(1 << ngram_join.MAP_BITS) // 8]
